@@ -31,9 +31,11 @@ from pacegrid.llm.textkernel import P, mix
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Documents of each language that a fit takes on average: those of small hash of the id.
-SAMPLE_PER_LANGUAGE = 1500
+SAMPLE_PER_LANGUAGE = 1000
 ROUNDS, SMOOTH, LONGEST = 3, 1e-7, 12
 SLOTS = 1 << 20
+#: Bytes of text whose distinct words are scored together.
+PREDICT_BYTES = 1 << 23
 FOLDS, HELD_OUT = 5, 0
 
 
@@ -234,7 +236,7 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, path: str | No
 
     counted = sample.mapInArrow(count, "word binary, lang int, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
     lists = counted.groupBy("word").agg(F.collect_list(F.struct("lang", F.col("n").cast("double").alias("n"))).alias("by_lang"))
-    lists = common.written(lists, "langid-words")
+    lists = common.written(lists.repartition(2 * spark.sparkContext.defaultParallelism), "langid-words")
 
     known = pieces(path)
     table = np.ones((len(known.names) + 1, len(languages))) / len(known.names)
@@ -270,7 +272,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
 
     def run(batches):
         model = shared.value
-        for batch in common.text_slices(batches, "text"):
+        for batch in common.text_slices(batches, "text", PREDICT_BYTES):
             n = batch.num_rows
             names, scores = ["und"] * n, np.zeros(n)
             if model is not None:

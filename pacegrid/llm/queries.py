@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pacegrid.llm import bpe, chat, dedup, langid, mixing, ogg, quality, toxicity
+from pacegrid.llm import bpe, chat, dedup, jaccard, langid, mixing, ogg, pii, quality, toxicity
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
     "op2_quality_knn": quality.op2_quality_knn,
     "op3_toxicity_fm": toxicity.op3_toxicity_fm,
+    "op4_pii_boosting": pii.op4_pii_boosting,
     "op5_ogg_media": ogg.op5_ogg_media,
+    "op6_ngram_jaccard": jaccard.op6_ngram_jaccard,
     "op7_language_id": langid.op7_language_id,
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_source_mixing": mixing.op9_source_mixing,

@@ -117,3 +117,15 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = 5) -> list[n
         else:
             out.append(np.zeros(0, np.uint64))
     return out
+
+
+def flat_shingles(data: np.ndarray, offsets: np.ndarray, size: int = 5) -> np.ndarray:
+    """Hashes of all word shingles of the texts that have ``size`` words, repeats included."""
+    w = Words(data, offsets, spaced_words())
+    many = max(0, len(w.start) - size + 1)
+    if not many:
+        return np.zeros(0, np.uint64)
+    grams = np.zeros(many, np.uint64)
+    for j in range(size):
+        grams = grams * np.uint64(P) + w.hash[j : j + many]
+    return mix(grams[w.doc[:many] == w.doc[size - 1 :]])
