@@ -45,7 +45,8 @@ def safe_parts(text: str, size: int = PART_CHARS) -> Iterator[tuple[str, bool]]:
     without any boundary for ``2 * size`` characters comes as single matches of the pattern."""
     at = 0
     while len(text) - at > 2 * size:
-        if cut := SAFE.search(text, at + size, at + 2 * size):
+        # The search stops at an end that may be no boundary, so one character more is shown.
+        if (cut := SAFE.search(text, at + size, at + 2 * size + 1)) and cut.start() <= at + 2 * size:
             yield text[at : cut.start()], False
             at = cut.start()
         else:

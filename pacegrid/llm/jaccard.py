@@ -9,8 +9,8 @@ Candidates share one of the ``n - ceil(0.8 n) + 1`` first n-grams of their order
 similarity 0.8 does. Documents of equal sets are one node, and pairs are only needed between
 nodes that aren't linked otherwise yet:
 
-1. star rounds link each node with one leader it shares most first n-grams with, so a group
-   of thousands of near copies falls together by as many pairs as it has nodes;
+1. star rounds compare each node with a few leaders that it shares most first n-grams with, so
+   a group of thousands of near copies falls together by a few pairs per node;
 2. the last round takes every remaining candidate pair of nodes in different components.
 
 No pair that could link two components is left out, and no group is expanded into all pairs.
@@ -28,7 +28,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from pacegrid.llm import common
 from pacegrid.llm.components import components
@@ -41,7 +41,8 @@ PERCENT, WORDS, FRAGMENTS = 80, 5, 8
 #: FREQUENT_KEPT most frequent ones that reach FREQUENT_LEAST go to the end of the order.
 FREQUENT_LOCAL, FREQUENT_WINDOW, FREQUENT_LEAST, FREQUENT_KEPT = 4, 1 << 22, 32, 1 << 17
 
-STAR_ROUNDS = 3
+#: Rounds of star pairs, and leaders that a node is compared with in each.
+STAR_ROUNDS, LEADERS = 2, 4
 
 
 def frequent_ngrams(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -110,8 +111,8 @@ def signatures(docs: DataFrame, frequent) -> DataFrame:
 
 
 def shared_postings(signed: DataFrame) -> DataFrame:
-    """(gram, node, n) of first n-grams that several nodes have, written."""
-    postings = signed.filter("node is not null").select(F.explode("prefix").alias("gram"), "node", F.col("n_shingles").cast("int").alias("n"))
+    """(gram, place, node, n) of first n-grams that several nodes have, written."""
+    postings = signed.filter("node is not null").select(F.posexplode("prefix").alias("place", "gram"), "node", F.col("n_shingles").cast("int").alias("n"))
     again = postings.groupBy("gram").agg(F.count("*").alias("rows")).filter("rows > 1").select("gram")
     met = common.written(postings.join(again, "gram").distinct(), "jaccard-met")
     several = met.groupBy("gram").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("gram")
@@ -162,8 +163,10 @@ def links(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return common.written(close.select("a", "b"), "jaccard-links")
 
 
-def _sized(pairs: DataFrame) -> DataFrame:
-    return pairs.filter(f"100 * least(n, m) >= {PERCENT} * greatest(n, m)")
+#: What a shared n-gram's places in two sets of sizes n and m must allow: with the overlap
+#: that a link needs, one of each set's n-grams up to ``size - overlap`` is shared.
+OVERLAP = f"(({PERCENT} * (n + m) + {100 + PERCENT} - 1) div {100 + PERCENT})"
+LIKELY = f"100 * least(n, m) >= {PERCENT} * greatest(n, m) and place + {OVERLAP} <= n and there + {OVERLAP} <= m"
 
 
 def _labelled(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -173,27 +176,31 @@ def _labelled(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
     return postings.join(named, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def star_pairs(labelled: DataFrame) -> DataFrame:
-    """One pair (a, b, n, m) per node: with the leader, the smallest by (label, node) of an
-    n-gram's nodes of like size, that it meets most often and isn't linked with."""
+def star_pairs(labelled: DataFrame, turn: int) -> DataFrame:
+    """At most ``LEADERS`` pairs (a, b, n, m) per node: with the leaders it meets most often.
+    Each n-gram's nodes of like size have one leader: in even turns one of those with fewest
+    rarer n-grams (of copies of one text, the least edited), else any, drawn by a hash of
+    n-gram, node and ``turn``. Nodes that are linked with theirs already give no pair."""
     size = F.floor(F.log("n") / np.log(1.25))
-    sized = labelled.select("gram", "node", "n", "label", size.alias("size"))
+    sized = labelled.select("gram", "place", "node", "n", "label", size.alias("size"))
     sized = sized.unionByName(sized.withColumn("size", F.col("size") + 1))
-    lead = sized.groupBy("gram", "size").agg(F.min(F.struct("label", "node", "n")).alias("lead")).filter("lead is not null")
+    first = F.col("place") if turn % 2 == 0 else F.lit(0)
+    drawn = F.struct(first.alias("first"), F.xxhash64("gram", "node", F.lit(turn)).alias("draw"), "node", "n", "label", "place")
+    lead = sized.groupBy("gram", "size").agg(F.min(drawn).alias("lead"), F.count("*").alias("nodes")).filter("nodes > 1")
     met = sized.join(lead, ["gram", "size"]).filter("label <> lead.label")
-    met = _sized(met.select(F.col("node").alias("a"), F.col("lead.node").alias("b"), "n", F.col("lead.n").alias("m")))
+    met = met.select(F.col("node").alias("a"), F.col("lead.node").alias("b"), "n", F.col("lead.n").alias("m"), "place", F.col("lead.place").alias("there")).filter(LIKELY)
     often = met.groupBy("a", "b", "n", "m").agg(F.count("*").alias("times"))
-    best = often.groupBy("a").agg(F.max(F.struct("times", "b", "n", "m")).alias("best"))
-    return best.select("a", "best.b", "best.n", "best.m")
+    best = Window.partitionBy("a").orderBy(F.col("times").desc(), "b")
+    return often.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= LEADERS).select("a", "b", "n", "m")
 
 
 def open_pairs(labelled: DataFrame) -> DataFrame:
     """All pairs (a, b, n, m) of nodes of different labels that share a first n-gram."""
     split = labelled.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("gram")
     rows = common.written(labelled.join(split, "gram"), "jaccard-open")
-    left = rows.select("gram", F.col("node").alias("a"), "n", F.col("label").alias("own"))
-    right = rows.select("gram", F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
-    return _sized(left.join(right, "gram").filter("a < b and own <> other")).select("a", "b", "n", "m").distinct()
+    left = rows.select("gram", F.col("node").alias("a"), "n", F.col("label").alias("own"), "place")
+    right = rows.select("gram", F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"), F.col("place").alias("there"))
+    return left.join(right, "gram").filter(f"a < b and own <> other and {LIKELY}").select("a", "b", "n", "m").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -206,8 +213,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not postings.isEmpty():
         parts = segments(rows, signed, postings, frequent)
         found, tested = [], []
-        for _ in range(STAR_ROUNDS):
-            pairs = common.written(star_pairs(_labelled(postings, labels)), "jaccard-pairs")
+        for turn in range(STAR_ROUNDS):
+            pairs = common.written(star_pairs(_labelled(postings, labels), turn), "jaccard-pairs")
             if pairs.isEmpty():
                 break
             new = links(pairs, parts)
