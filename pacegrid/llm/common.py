@@ -13,10 +13,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 BROADCAST_ROWS = 200_000
 
 #: Bytes of text that one step of a Python kernel works on.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1_000_000
+
+
+#: Rows of one Arrow batch between Spark and a kernel: texts may be long.
+BATCH_ROWS = "1000"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder; from here on the session hands kernels small batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -39,7 +39,7 @@ PERCENT, WORDS, FRAGMENTS = 80, 5, 8
 
 #: A task reports n-grams that occur this often among FREQUENT_WINDOW of its n-grams; the
 #: FREQUENT_KEPT most frequent ones that reach FREQUENT_LEAST go to the end of the order.
-FREQUENT_LOCAL, FREQUENT_WINDOW, FREQUENT_LEAST, FREQUENT_KEPT = 4, 1 << 22, 32, 1 << 17
+FREQUENT_LOCAL, FREQUENT_WINDOW, FREQUENT_LEAST, FREQUENT_KEPT = 3, 1 << 21, 32, 1 << 17
 
 #: Rounds of star pairs, and leaders that a node is compared with in each.
 STAR_ROUNDS, LEADERS = 2, 4
@@ -87,7 +87,7 @@ def node_of(grams: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, frequent) -> DataFrame:
-    """(doc_id, n_shingles, node, prefix) of every document, written; empty sets have no node."""
+    """(doc_id, n_shingles, node, prefix, rid) of every document, written; empty sets have no node."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
     id_type = docs.schema["id"].dataType.simpleString()
 
@@ -107,16 +107,17 @@ def signatures(docs: DataFrame, frequent) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), lists], ["id", "n_shingles", "node", "prefix"])
 
     found = docs.mapInArrow(run, f"id {id_type}, n_shingles long, node long, prefix array<long>")
-    return common.written(found.withColumnRenamed("id", "doc_id"), "jaccard-signatures")
+    return common.written(found.withColumnRenamed("id", "doc_id").withColumn("rid", F.monotonically_increasing_id()), "jaccard-signatures")
 
 
 def shared_postings(signed: DataFrame) -> DataFrame:
-    """(gram, place, node, n) of first n-grams that several nodes have, written."""
-    postings = signed.filter("node is not null").select(F.posexplode("prefix").alias("place", "gram"), "node", F.col("n_shingles").cast("int").alias("n"))
+    """(gram, place, node, n) of first n-grams that several documents have, written. Only a row
+    number goes through the large shuffles with each n-gram."""
+    postings = signed.filter("node is not null").select(F.posexplode("prefix").alias("place", "gram"), "rid")
     again = postings.groupBy("gram").agg(F.count("*").alias("rows")).filter("rows > 1").select("gram")
-    met = common.written(postings.join(again, "gram").distinct(), "jaccard-met")
-    several = met.groupBy("gram").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("gram")
-    return common.written(met.join(several, "gram"), "jaccard-postings")
+    met = common.written(postings.join(again, "gram"), "jaccard-met")
+    named = met.join(signed.select("rid", "node", F.col("n_shingles").cast("int").alias("n")), "rid").drop("rid")
+    return common.written(named.distinct(), "jaccard-postings")
 
 
 def segments(docs: DataFrame, signed: DataFrame, postings: DataFrame, frequent) -> DataFrame:
@@ -178,16 +179,16 @@ def _labelled(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 def star_pairs(labelled: DataFrame, turn: int) -> DataFrame:
     """At most ``LEADERS`` pairs (a, b, n, m) per node: with the leaders it meets most often.
-    Each n-gram's nodes of like size have one leader: in even turns one of those with fewest
+    Each n-gram has one leader: in even turns one of those with fewest
     rarer n-grams (of copies of one text, the least edited), else any, drawn by a hash of
-    n-gram, node and ``turn``. Nodes that are linked with theirs already give no pair."""
-    size = F.floor(F.log("n") / np.log(1.25))
-    sized = labelled.select("gram", "place", "node", "n", "label", size.alias("size"))
-    sized = sized.unionByName(sized.withColumn("size", F.col("size") + 1))
+    n-gram, node and ``turn``. Nodes that are linked with theirs already give no pair. Only
+    n-grams early enough for a partner of the same size take part; the rest is left to
+    ``open_pairs``."""
+    early = labelled.filter(f"place + ((2 * {PERCENT} * n + {100 + PERCENT} - 1) div {100 + PERCENT}) <= n")
     first = F.col("place") if turn % 2 == 0 else F.lit(0)
     drawn = F.struct(first.alias("first"), F.xxhash64("gram", "node", F.lit(turn)).alias("draw"), "node", "n", "label", "place")
-    lead = sized.groupBy("gram", "size").agg(F.min(drawn).alias("lead"), F.count("*").alias("nodes")).filter("nodes > 1")
-    met = sized.join(lead, ["gram", "size"]).filter("label <> lead.label")
+    lead = early.groupBy("gram").agg(F.min(drawn).alias("lead"), F.count("*").alias("nodes")).filter("nodes > 1").select("gram", "lead")
+    met = early.join(lead, "gram").filter("label <> lead.label")
     met = met.select(F.col("node").alias("a"), F.col("lead.node").alias("b"), "n", F.col("lead.n").alias("m"), "place", F.col("lead.place").alias("there")).filter(LIKELY)
     often = met.groupBy("a", "b", "n", "m").agg(F.count("*").alias("times"))
     best = Window.partitionBy("a").orderBy(F.col("times").desc(), "b")

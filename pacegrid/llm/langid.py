@@ -35,7 +35,7 @@ SAMPLE_PER_LANGUAGE = 1000
 ROUNDS, SMOOTH, LONGEST = 3, 1e-7, 12
 SLOTS = 1 << 20
 #: Bytes of text whose distinct words are scored together.
-PREDICT_BYTES = 1 << 23
+PREDICT_BYTES = 1 << 22
 FOLDS, HELD_OUT = 5, 0
 
 
