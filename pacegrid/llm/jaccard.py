@@ -37,12 +37,15 @@ from pacegrid.llm.textkernel import flat_shingles, shingle_sets
 #: Similarity in percent, words per n-gram, fragments of the global order.
 PERCENT, WORDS, FRAGMENTS = 80, 5, 8
 
+#: Fragments whose differences alone already rule out most pairs.
+PRUNING = 2
+
 #: A task reports n-grams that occur this often among FREQUENT_WINDOW of its n-grams; the
 #: FREQUENT_KEPT most frequent ones that reach FREQUENT_LEAST go to the end of the order.
 FREQUENT_LOCAL, FREQUENT_WINDOW, FREQUENT_LEAST, FREQUENT_KEPT = 3, 1 << 21, 32, 1 << 17
 
 #: Rounds of star pairs, and leaders that a node is compared with in each.
-STAR_ROUNDS, LEADERS = 2, 4
+STAR_ROUNDS, LEADERS = 2, 2
 
 
 def frequent_ngrams(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -140,8 +143,7 @@ def segments(docs: DataFrame, signed: DataFrame, postings: DataFrame, frequent)
                 cut = [rare[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)] + [np.sort(often)]
                 node = node_of(grams)
                 for k, part in enumerate(cut):
-                    if len(part):
-                        nodes.append(node), numbers.append(k), parts.append(part)
+                    nodes.append(node), numbers.append(k), parts.append(part)
             ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
             flat = common.as_signed(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(numbers, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["node", "fragment", "grams"])
@@ -149,17 +151,29 @@ def segments(docs: DataFrame, signed: DataFrame, postings: DataFrame, frequent)
     return common.written(texts.mapInArrow(run, "node long, fragment int, grams array<long>"), "jaccard-segments")
 
 
-def links(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """(a, b) of the written pairs (a, b, n, m) whose overlap, counted by fragment and summed,
-    is large enough, written."""
+def overlaps(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """(a, b, n, m, overlap, apart) of the written pairs: n-grams shared, and n-grams of one set
+    alone, each counted by fragment and summed over the fragments of ``parts``."""
     mine = common.checked_broadcast(pairs)
     left = parts.join(mine, parts.node == mine.a).select("a", "b", "n", "m", "fragment", F.col("grams").alias("own"))
     ends = common.checked_broadcast(common.written(pairs.select(F.col("b").alias("node")).distinct(), "jaccard-ends"))
     right = parts.join(ends, "node", "left_semi").select(F.col("node").alias("b"), "fragment", F.col("grams").alias("other"))
-    partial = left.join(right, ["b", "fragment"]).select("a", "b", "n", "m", "fragment", F.size(F.array_intersect("own", "other")).alias("overlap"))
+    both = left.join(right, ["b", "fragment"]).withColumn("overlap", F.size(F.array_intersect("own", "other")))
     # A repeated row repeats its segments: one count per fragment goes into the sum.
-    counted = partial.groupBy("a", "b", "n", "m", "fragment").agg(F.max("overlap").alias("overlap"))
-    whole = counted.groupBy("a", "b", "n", "m").agg(F.sum("overlap").alias("overlap"))
+    apart = F.size("own") + F.size("other") - 2 * F.col("overlap")
+    counted = both.groupBy("a", "b", "n", "m", "fragment").agg(F.max("overlap").alias("overlap"), F.max(apart).alias("apart"))
+    return counted.groupBy("a", "b", "n", "m").agg(F.sum("overlap").alias("overlap"), F.sum("apart").alias("apart"))
+
+
+def links(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """(a, b) of the written pairs (a, b, n, m) whose overlap is large enough, written. The first
+    fragments rule out pairs that differ there more than a link may differ anywhere; only the
+    others' further segments are moved."""
+    early = overlaps(pairs, parts.filter(F.col("fragment") < PRUNING))
+    early = early.filter(f"apart <= n + m - 2 * {OVERLAP}").select("a", "b", "n", "m", F.col("overlap").alias("so_far"))
+    early = common.written(early, "jaccard-early")
+    rest = overlaps(early.select("a", "b", "n", "m"), parts.filter(F.col("fragment") >= PRUNING))
+    whole = rest.join(early.select("a", "b", "so_far"), ["a", "b"]).withColumn("overlap", F.col("overlap") + F.col("so_far"))
     close = whole.filter(100 * F.col("overlap") >= PERCENT * (F.col("n") + F.col("m") - F.col("overlap")))
     return common.written(close.select("a", "b"), "jaccard-links")
 
