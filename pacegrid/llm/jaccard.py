@@ -40,9 +40,9 @@ PERCENT, WORDS, FRAGMENTS = 80, 5, 8
 #: Fragments whose differences alone already rule out most pairs.
 PRUNING = 2
 
-#: A task reports n-grams that occur this often among FREQUENT_WINDOW of its n-grams; the
+#: A task reports n-grams that occur FREQUENT_LOCAL times among FREQUENT_WINDOW of its n-grams; the
 #: FREQUENT_KEPT most frequent ones that reach FREQUENT_LEAST go to the end of the order.
-FREQUENT_LOCAL, FREQUENT_WINDOW, FREQUENT_LEAST, FREQUENT_KEPT = 3, 1 << 21, 32, 1 << 17
+FREQUENT_LOCAL, FREQUENT_WINDOW, FREQUENT_LEAST, FREQUENT_KEPT = 2, 1 << 22, 16, 1 << 18
 
 #: Rounds of star pairs, and leaders that a node is compared with in each.
 STAR_ROUNDS, LEADERS = 2, 2
@@ -54,8 +54,11 @@ def frequent_ngrams(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     def count(batches):
         def report(parts):
-            grams, n = np.unique(np.concatenate(parts), return_counts=True)
-            grams, n = grams[n >= FREQUENT_LOCAL], n[n >= FREQUENT_LOCAL]
+            grams = np.concatenate(parts)
+            parts.clear()
+            grams.sort()
+            starts = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]) & np.concatenate([grams[1:] == grams[:-1], [False]]))
+            grams, n = grams[starts], np.searchsorted(grams, grams[starts], side="right") - starts
             return pa.RecordBatch.from_arrays([pa.array(common.as_signed(grams)), pa.array(n)], ["gram", "n"])
 
         parts, held = [], 0
@@ -64,7 +67,7 @@ def frequent_ngrams(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             held += len(parts[-1])
             if held >= FREQUENT_WINDOW:
                 yield report(parts)
-                parts, held = [], 0
+                held = 0
         if parts:
             yield report(parts)
 
@@ -118,8 +121,7 @@ def shared_postings(signed: DataFrame) -> DataFrame:
     number goes through the large shuffles with each n-gram."""
     postings = signed.filter("node is not null").select(F.posexplode("prefix").alias("place", "gram"), "rid")
     again = postings.groupBy("gram").agg(F.count("*").alias("rows")).filter("rows > 1").select("gram")
-    met = common.written(postings.join(again, "gram"), "jaccard-met")
-    named = met.join(signed.select("rid", "node", F.col("n_shingles").cast("int").alias("n")), "rid").drop("rid")
+    named = postings.join(again, "gram").join(signed.select("rid", "node", F.col("n_shingles").cast("int").alias("n")), "rid").drop("rid")
     return common.written(named.distinct(), "jaccard-postings")
 
 
