@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from pacegrid.plans import street_queries
+
+FLAGSHIP = street_queries.rank_candidates
+
 
 def queries() -> dict:
-    return {}
+    return dict(street_queries.QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(street_queries.SQL)
