@@ -73,17 +73,13 @@ def record_table(fixes: DataFrame) -> DataFrame:
 
 
 def record_stream(fixes: DataFrame) -> DataFrame:
-    """Results of a stream of fixes; sessions without one for an hour are forgotten."""
+    """Results of a stream of fixes; a session's state is eight numbers."""
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
         now = state.get if state.exists else START
         rows = pd.concat(list(batches))
         now, found = replay(key[0], tuple(now), rows.sort_values(["arrival", "ts"], kind="stable"))
         state.update(now)
-        state.setTimeoutDuration(3_600_000)
         yield found
 
-    return fixes.groupBy("session_id").applyInPandasWithState(step, RESULT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return fixes.groupBy("session_id").applyInPandasWithState(step, RESULT, STATE, "append", GroupStateTimeout.NoTimeout)

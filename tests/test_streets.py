@@ -80,7 +80,6 @@ def test_recorder_stream_equals_table(spark, tmp_path):
     fixes = spark.createDataFrame(rows, recorder.FIX)
     fixes.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = recorder.record_stream(spark.readStream.schema(recorder.FIX).parquet(str(tmp_path / "in")))
-    query = stream.writeStream.format("memory").queryName("runs").option("checkpointLocation", str(tmp_path / "at")).outputMode("append").start()
-    query.processAllAvailable()
-    query.stop()
+    query = stream.writeStream.format("memory").queryName("runs").option("checkpointLocation", str(tmp_path / "at")).outputMode("append").trigger(availableNow=True).start()
+    assert query.awaitTermination(90)
     assert sorted(map(tuple, spark.table("runs").collect())) == sorted(map(tuple, recorder.record_table(fixes).collect()))
