@@ -14,6 +14,7 @@ query still adds its conversation -7).
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections.abc import Callable
@@ -38,6 +39,8 @@ _CONTROL = re.compile(rf"(?<!\\)(?:{_ANY})")
 _HEAD = re.compile(r"<s>\[ROLE\](.*?) \[/ROLE\](\[INST\]|\[SAY\]) ", re.DOTALL)
 
 
+#: Texts that the next turns' renderings escape again.
+@functools.lru_cache(maxsize=64)
 def escape(text: str) -> str:
     """n backslashes before a control string become 2n + 1; other text stays as it is."""
     return _INSIDE.sub(lambda m: m[1] * 2 + "\\" + m[2], text)
@@ -100,8 +103,7 @@ def render_incrementally(template: Template, turns: Turns) -> dict:
 
 
 def locate(template: Template, past: Turns, role: str, now: str) -> tuple[int, int] | None:
-    spare = template([*past, (role, "")])
-    probe = next((chr(c) for c in PROBES if chr(c) not in spare), None)
+    probe = next((chr(c) for c in PROBES if chr(c) not in now), None)
     if probe is not None:
         shown = template([*past, (role, probe)])
         if shown.count(probe) == 1:
