@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pacegrid.functions import geo
@@ -99,3 +101,24 @@ def bounded_reach(sources: DataFrame, edges: DataFrame, limit: float) -> DataFra
         fresh = merged.filter(better).select("source", "node_id", "metres")
         known = merged.select("source", "node_id", F.when(better, F.col("metres")).otherwise(F.col("before")).alias("metres"))
     return known
+
+
+def crop(nodes: DataFrame, edges: DataFrame, lat: float, lon: float, metres: float) -> tuple[DataFrame, DataFrame]:
+    """Nodes within ``metres`` of a place and the edges between them. A box of degrees reaches the
+    scan before distances are computed; both ends of an edge must stay."""
+    up = metres / geo.LATITUDE_METRES * 1.01
+    across = up / math.cos(math.radians(min(89.0, abs(lat) + up)))
+    box = nodes.filter(F.col("y").between(lat - up, lat + up) & F.col("x").between(lon - across, lon + across))
+    kept = box.filter(geo.haversine(F.lit(lat), F.lit(lon), F.col("y"), F.col("x")) <= metres)
+    ends = kept.select("node_id")
+    inner = edges.join(ends.withColumnRenamed("node_id", "u"), "u", "left_semi").join(ends.withColumnRenamed("node_id", "v"), "v", "left_semi")
+    return kept, inner
+
+
+def cell_origins(nodes: DataFrame, cell: float = geo.CELL) -> DataFrame:
+    """(cell, node_id, metres) of each cell that holds nodes: the one nearest to its centre."""
+    row, column = geo.cell_row(F.col("y"), cell), geo.cell_column(F.col("y"), F.col("x"), cell)
+    lat, lon = geo.cell_centre(row, column, cell)
+    metres = F.round(geo.haversine(F.col("y"), F.col("x"), lat, lon), 6)
+    best = nodes.groupBy(geo.cell_id(F.col("y"), F.col("x"), cell).alias("cell")).agg(F.min(F.struct(metres.alias("metres"), "node_id")).alias("best"))
+    return best.select("cell", "best.node_id", "best.metres")
