@@ -35,10 +35,10 @@ from pacegrid.llm.components import components
 from pacegrid.llm.textkernel import flat_shingles, shingle_sets
 
 #: Similarity in percent, words per n-gram, fragments of the global order.
-PERCENT, WORDS, FRAGMENTS = 80, 5, 8
+PERCENT, WORDS, FRAGMENTS = 80, 5, 16
 
 #: Fragments whose differences alone already rule out most pairs.
-PRUNING = 2
+PRUNING = 3
 
 #: A task reports n-grams that occur FREQUENT_LOCAL times among FREQUENT_WINDOW of its n-grams; the
 #: FREQUENT_KEPT most frequent ones that reach FREQUENT_LEAST go to the end of the order.
@@ -125,13 +125,14 @@ def shared_postings(signed: DataFrame) -> DataFrame:
     return common.written(named.distinct(), "jaccard-postings")
 
 
-def segments(docs: DataFrame, signed: DataFrame, postings: DataFrame, frequent) -> DataFrame:
-    """(node, fragment, grams) of the nodes that have candidates, written. Fragments are equal
-    ranges of hashes; the last one takes the frequent n-grams."""
+def segments(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, frequent, fragments: range) -> DataFrame:
+    """(node, fragment, grams) of the ends of the pairs (a, b, ...), written. Fragments are equal
+    ranges of hashes; the last one takes the frequent n-grams. Only the texts of these ends are
+    read again."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
-    nodes = signed.join(postings.select("node").distinct(), "node", "left_semi")
-    wanted = common.written(nodes.groupBy("node").agg(F.min("doc_id").alias("id")).select(F.col("id").alias("wanted")).distinct(), "jaccard-wanted")
-    texts = docs.join(common.checked_broadcast(wanted), F.col("id") == F.col("wanted"), "left_semi").select("text")
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = common.written(firsts.join(ends, "node", "left_semi").select(F.col("first").alias("wanted")).distinct(), "jaccard-wanted")
+    texts = docs.join(common.checked_broadcast(wanted), F.col("id").eqNullSafe(F.col("wanted")), "left_semi").select("text")
     width = np.uint64(2**64 // (FRAGMENTS - 1) + 1)
 
     def run(batches):
@@ -142,13 +143,13 @@ def segments(docs: DataFrame, signed: DataFrame, postings: DataFrame, frequent)
                     continue
                 rare, often = in_order(grams, shared.value)
                 cuts = np.searchsorted(rare // width, np.arange(FRAGMENTS, dtype=np.uint64))
-                cut = [rare[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)] + [np.sort(often)]
                 node = node_of(grams)
-                for k, part in enumerate(cut):
+                for k in fragments:
+                    part = np.sort(often) if k == FRAGMENTS - 1 else rare[cuts[k] : cuts[k + 1]]
                     nodes.append(node), numbers.append(k), parts.append(part)
-            ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+            lengths = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
             flat = common.as_signed(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(numbers, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["node", "fragment", "grams"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(numbers, pa.int32()), pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat))], ["node", "fragment", "grams"])
 
     return common.written(texts.mapInArrow(run, "node long, fragment int, grams array<long>"), "jaccard-segments")
 
@@ -167,14 +168,14 @@ def overlaps(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return counted.groupBy("a", "b", "n", "m").agg(F.sum("overlap").alias("overlap"), F.sum("apart").alias("apart"))
 
 
-def links(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+def links(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, frequent) -> DataFrame:
     """(a, b) of the written pairs (a, b, n, m) whose overlap is large enough, written. The first
     fragments rule out pairs that differ there more than a link may differ anywhere; only the
-    others' further segments are moved."""
-    early = overlaps(pairs, parts.filter(F.col("fragment") < PRUNING))
+    others' further segments are made and moved."""
+    early = overlaps(pairs, segments(docs, firsts, pairs, frequent, range(PRUNING)))
     early = early.filter(f"apart <= n + m - 2 * {OVERLAP}").select("a", "b", "n", "m", F.col("overlap").alias("so_far"))
     early = common.written(early, "jaccard-early")
-    rest = overlaps(early.select("a", "b", "n", "m"), parts.filter(F.col("fragment") >= PRUNING))
+    rest = overlaps(early.select("a", "b", "n", "m"), segments(docs, firsts, early, frequent, range(PRUNING, FRAGMENTS)))
     whole = rest.join(early.select("a", "b", "so_far"), ["a", "b"]).withColumn("overlap", F.col("overlap") + F.col("so_far"))
     close = whole.filter(100 * F.col("overlap") >= PERCENT * (F.col("n") + F.col("m") - F.col("overlap")))
     return common.written(close.select("a", "b"), "jaccard-links")
@@ -228,13 +229,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     postings = shared_postings(signed)
     labels = None
     if not postings.isEmpty():
-        parts = segments(rows, signed, postings, frequent)
+        firsts = common.written(signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first")), "jaccard-firsts")
         found, tested = [], []
         for turn in range(STAR_ROUNDS):
             pairs = common.written(star_pairs(_labelled(postings, labels), turn), "jaccard-pairs")
             if pairs.isEmpty():
                 break
-            new = links(pairs, parts)
+            new = links(pairs, rows, firsts, frequent)
             tested.append(pairs)
             if new.isEmpty():
                 break
@@ -246,7 +247,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             pairs = pairs.join(known, ["a", "b"], "left_anti")
         pairs = common.written(pairs, "jaccard-pairs")
         if not pairs.isEmpty():
-            new = links(pairs, parts)
+            new = links(pairs, rows, firsts, frequent)
             if not new.isEmpty():
                 labels = components(_union([*found, new]))
     nodes = signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
