@@ -101,3 +101,21 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.element_at(F.array(F.lit("road"), F.lit("mixed"), F.lit("trail")), (F.col("l_orderkey") % 3 + 1).cast("int")).alias("surface"),
         F.element_at(F.array(F.lit("flat"), F.lit("balanced"), F.lit("hilly")), (F.floor(F.col("l_orderkey") / 3) % 3 + 1).cast("int")).alias("climb"),
     )
+
+
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(feature_id, information, amenity, leisure, access, name, lat, lon): mapped places at nodes,
+    one per customer."""
+    count = nodes(spark, sf_dir).agg(F.count("*").alias("count"))
+    s = F.col("c_custkey").cast("long")
+    k = (s * 13) % F.col("count")
+    return table(spark, sf_dir, "customer").crossJoin(F.broadcast(count)).select(
+        s.alias("feature_id"),
+        F.when(s % 5 == 0, "Trailhead").alias("information"),
+        F.when((s % 5 == 1) | (s % 5 == 4), "parking").alias("amenity"),
+        F.when(s % 5 == 2, "park").alias("leisure"),
+        F.when(F.col("c_nationkey") % 6 == 0, "private").when(F.col("c_nationkey") % 6 == 1, "Customers").alias("access"),
+        F.when(s % 3 != 0, F.col("c_name")).alias("name"),
+        (38.0 + F.floor(k / WIDTH) * 0.0013).alias("lat"),
+        (-78.5 + (k % WIDTH) * 0.0017).alias("lon"),
+    )
