@@ -68,9 +68,10 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ``common.BROADCAST_ROWS`` and joined by shuffle beyond.
     """
     result = common.written(exact_groups(keys(docs, id_col, text_col)), "dedup-result")
-    kept = result.filter("kept").select("doc_id", "text_sha256")
-    repeats = result.join(kept, (result.doc_id.eqNullSafe(kept.doc_id)) & (result.text_sha256 == kept.text_sha256), "left_semi").filter("not kept")
-    gone = result.filter("not kept").join(kept, ["doc_id", "text_sha256"], "left_anti").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
+    kept = result.filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
+    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_sha256") == F.col("kept_sha"))
+    repeats = result.filter("not kept").join(kept, same, "left_semi")
+    gone = result.filter("not kept").join(kept, same, "left_anti").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
     gone = common.checked_broadcast(common.written(gone, "dedup-gone"))
     own = docs.withColumn("__own", F.sha2(normalised(F.col(text_col)).cast("binary"), 256))
     out = own.join(gone, own[id_col].eqNullSafe(gone["__id"]) & (own["__own"] == gone["__sha"]), "left_anti")

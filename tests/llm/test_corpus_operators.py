@@ -31,6 +31,12 @@ def test_exact_dedup(docs, empty):
     assert dedup.drop_copies(empty).count() == 0
 
 
+def test_of_copies_without_ids_one_stays(spark):
+    rows = [(None, "a  b"), (None, "a b"), (None, "c"), (None, "c"), (4, "c"), (None, "d"), (5, "e"), (5, "e"), (5, "f")]
+    found = dedup.drop_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((norm(r.text), r.doc_id) for r in found) == [("a b", None), ("c", 4), ("d", None), ("e", 5), ("f", 5)]
+
+
 def test_mixing(spark, docs, empty):
     rng = random.Random(5)
     rows = [(i, "w " * rng.choice([1, 5, 60, 400]), rng.choice(["a"] * 6 + ["b", "c", None])) for i in range(3000)]
