@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from pacegrid.operators import routes
+
 
 def leading(ranked: DataFrame, group: str, order: str, most: int) -> DataFrame:
     """The first ``most`` rows of each group with their place; Spark keeps no more than these per
@@ -29,6 +31,27 @@ def distinct_routes(placed: DataFrame, conflicts: DataFrame, group: str, most: i
     return chosen.select(group, F.posexplode("chosen").alias("place", "route_id")).select(group, "route_id", (F.col("place") + 1).cast("long").alias("place"))
 
 
+def distinct_by_streets(placed: DataFrame, streets: DataFrame, group: str, most: int, least_share: float) -> DataFrame:
+    """(group, route_id, place) as ``distinct_routes`` chooses with conflicts of ``least_share``, over
+    groups of any length. Each round takes the open route of least place in every group and closes
+    those too like it; no group is collected, and routes meet only those taken. Rounds are
+    checkpointed. ``streets`` as of ``routes.walked_streets``."""
+    open_, taken = placed.select(group, "route_id", "place"), []
+    for turn in range(1, most + 1):
+        first = open_.groupBy(group).agg(F.min(F.struct("place", "route_id")).alias("first"))
+        leads = first.select(group, "first.route_id").checkpoint()
+        if leads.isEmpty():
+            break
+        taken.append(leads.withColumn("place", F.lit(turn).cast("long")))
+        if turn < most:
+            closed = routes.like_leads(streets, leads, group, least_share).unionByName(leads)
+            open_ = open_.join(closed, [group, "route_id"], "left_anti").checkpoint()
+    out = taken[0] if taken else placed.select(group, "route_id", F.col("place").cast("long")).limit(0)
+    for more in taken[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def answer_gate(ranked: DataFrame, wanted: int, tolerance: float = 0.25) -> DataFrame:
     """(request_id, near, sound, reason): candidates in the distance band, those of them that
     aren't awkward, and why a request can't be answered; three routes may be two."""

@@ -12,6 +12,10 @@ from pacegrid.plans.street_queries import CELLS, EDGES, HAVERSINE, NODES, RANKED
 from pacegrid.sources import street_tables as t
 
 
+#: Share of two routes' streets from which they count as one.
+MOST_SHARED = 0.7
+
+
 def _checkpoints(spark: SparkSession) -> None:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pacegrid-"))
@@ -39,11 +43,12 @@ def serve_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def distinct_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each area's first 60 routes up to five, none of which shares 30 percent with another."""
+    """Of each area's routes up to five, none of which shares 70 percent with another."""
+    _checkpoints(spark)
     area = t.route_nodes(spark, sf_dir).filter("pos = 0").select("route_id", F.floor(F.col("node_id") / 11).alias("area"))
-    placed = selection.leading(area, "area", "route_id", 60)
-    walked = _measured(spark, sf_dir).filter("length is not null").join(placed.select("route_id", "area"), "route_id")
-    return selection.distinct_routes(placed, routes.overlaps(walked, "area", 0.3), "area", 5)
+    walked = _measured(spark, sf_dir).filter("length is not null").join(area, "route_id")
+    streets = routes.walked_streets(walked, "area").checkpoint()
+    return selection.distinct_by_streets(area.withColumn("place", F.col("route_id")), streets, "area", 5, MOST_SHARED)
 
 
 def answer_gate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,6 +23,51 @@ def test_greedy_choice_equals_a_plain_loop(spark):
     assert {tuple(r) for r in selection.distinct_routes(rows, met, "g", 4).collect()} == want
 
 
+def test_choice_by_streets_takes_all_routes_of_a_group(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    rng = random.Random(7)
+    length = {e: 50.0 + 10 * e for e in range(40)}
+    walks = {(g, 1000 * g + r): set(range(15 + g, 36 + g)) | {rng.randrange(5)} for g in range(3) for r in range(70)}
+    walks |= {(g, 1000 * g + 70 + r): set(rng.sample(range(40), 10)) for g in range(3) for r in range(30)}
+    want = set()
+    for g in range(3):
+        chosen = []
+        for k in sorted(k for k in walks if k[0] == g):
+            size = lambda streets: sum(length[e] for e in streets)
+            if len(chosen) < 5 and not any(size(walks[k] & walks[c]) / size(walks[k] | walks[c]) >= 0.7 for c in chosen):
+                chosen.append(k)
+        want |= {(*k, i + 1) for i, k in enumerate(chosen)}
+    steps = [(g, r, e, e + 100, length[e]) for (g, r), streets in walks.items() for e in streets]
+    streets = routes.walked_streets(spark.createDataFrame(steps, "g long, route_id long, u long, v long, length double"), "g")
+    placed = spark.createDataFrame([(g, r, r) for g, r in walks] + [(9, 9000, 1)], "g long, route_id long, place long")
+    assert {tuple(r) for r in selection.distinct_by_streets(placed, streets, "g", 5, 0.7).collect()} == want | {(9, 9000, 1)}
+    assert any(r % 1000 >= 60 for _, r, _ in want)
+    assert selection.distinct_by_streets(placed.limit(0), streets, "g", 5, 0.7).count() == 0
+
+
+def test_distinct_routes_query_takes_all_routes_of_an_area(spark):
+    from pacegrid.plans import route_queries as q
+
+    sf_dir = "/root/testdata/sf0.01"
+    area, walks = {}, {}
+    for r in q.t.route_nodes(spark, sf_dir).filter("pos = 0").collect():
+        area[r.route_id] = r.node_id // 11
+    for r in q._measured(spark, sf_dir).filter("length is not null").collect():
+        walks.setdefault(r.route_id, {})[min(r.u, r.v), max(r.u, r.v)] = r.length
+    chosen = {}
+    for r in sorted(area):
+        mine, others = walks.get(r, {}), chosen.setdefault(area[r], [])
+
+        def share(c, mine=mine):
+            common = sum(min(mine[e], walks[c][e]) for e in mine.keys() & walks[c].keys())
+            return round(common / (sum(mine.values()) + sum(walks[c].values()) - common), 6)
+
+        if len(others) < 5 and all(share(c) < 0.7 for c in others):
+            others.append(r)
+    want = {(a, r, i + 1) for a, routes_ in chosen.items() for i, r in enumerate(routes_)}
+    assert {tuple(r) for r in q.distinct_routes(spark, sf_dir).collect()} == want
+
+
 def test_gate_reasons(spark):
     rows = [(1, 0.1, False), (1, 0.1, False), (2, 0.1, True), (2, 0.1, False), (3, 0.1, False), (3, 0.9, False)]
     found = selection.answer_gate(spark.createDataFrame(rows, "request_id long, error double, awkward boolean"), 3)
