@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, functions as F
 from pacegrid.functions import geo
 from pacegrid.operators import network
 
-#: Metres of a connector at first and when widened, rings of cells then, metres by
-#: which a joined loop may miss the target.
-CONNECTOR, WIDER, RINGS, BAND = 300.0, 500.0, 2, 0.25 * geo.MILE
+#: Metres of a connector at first and when widened, rings of cells at first and then,
+#: metres by which a joined loop may miss the target.
+CONNECTOR, WIDER, NEAR_RINGS, RINGS, BAND = 300.0, 500.0, 1, 2, 0.25 * geo.MILE
 
 
 def ring(cells: DataFrame, rings: int, cell: float = geo.CELL) -> DataFrame:
@@ -41,15 +41,15 @@ def anchored(looked: DataFrame, loops: DataFrame, reach: DataFrame, limit: float
     return joined.select("source", "route_id", "best.pos", "best.connector", (F.col("metres") + F.col("best.connector")).alias("metres"))
 
 
-def serve(requests: DataFrame, nodes: DataFrame, edges: DataFrame, loops: DataFrame) -> DataFrame:
+def serve(requests: DataFrame, nodes: DataFrame, edges: DataFrame, loops: DataFrame, near_rings: int = 0) -> DataFrame:
     """(request_id, retry, route_id, pos, connector, metres) of all loops that answer a request
-    (request_id, source, target_miles). Requests without an answer are tried once more with
-    further cells and longer connectors. Work is done by distinct origin, not by request; reach
+    (request_id, source, target_miles), from the cells within ``near_rings`` steps of its own.
+    Requests without an answer are tried once more with further cells and longer connectors. Work is done by distinct origin, not by request; reach
     is only computed for origins that have loops around."""
     places = requests.select("source").distinct().join(nodes.select(F.col("node_id").alias("source"), "y", "x"), "source")
     cells = loops.select("cell").distinct()
     wide = ring(places, RINGS).join(cells, "cell", "left_semi")
-    near = places.withColumn("cell", geo.cell_id(F.col("y"), F.col("x")))
+    near = ring(places, near_rings).join(cells, "cell", "left_semi")
     reach = both_ways(wide.select("source").distinct(), edges, WIDER)
 
     def answers(asked: DataFrame, looked: DataFrame, limit: float, label: str) -> DataFrame:

@@ -38,7 +38,7 @@ def serve_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = points.filter("pos = 0").select("route_id", geo.cell_id(F.col("y"), F.col("x")).alias("cell"))
     loops = points.select("route_id", "pos", "node_id").join(first, "route_id").join(lengths, "route_id")
     asked = nodes.select(F.col("node_id").alias("request_id"), F.col("node_id").alias("source"), (1.0 + F.col("node_id") % 2 * 0.5).alias("target_miles"))
-    found = pools.serve(asked, nodes, edges, loops.checkpoint())
+    found = pools.serve(asked, nodes, edges, loops.checkpoint(), pools.NEAR_RINGS)
     return found.select("request_id", "retry", "route_id", "pos", F.round("connector", 2).alias("connector"), F.round("metres", 1).alias("metres"))
 
 

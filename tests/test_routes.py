@@ -117,6 +117,18 @@ def test_serving_retries_only_open_requests(spark, tmp_path):
     assert found == {1: ("none", 1, 0.0, 1500.0), 2: ("wider", 1, 440.0, 1940.0)}
 
 
+def test_first_attempt_takes_loops_of_neighbour_cells(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    nodes = spark.createDataFrame([(i, 0.0001, 0.0001 + 0.001 * i, None, False) for i in range(6)], "node_id long, y double, x double, elevation double, signal boolean")
+    edges = spark.createDataFrame([(a, b, 0, 110.0, "", "") for i in range(5) for a, b in ((i, i + 1), (i + 1, i))], "u long, v long, key int, length double, highway string, surface string")
+    walked = [(7, 0, "200:0:0"), (8, 3, "200:0:1"), (9, 5, "200:0:2")]
+    loops = spark.createDataFrame([(r, 0, n, cell, 1500.0) for r, n, cell in walked], "route_id long, pos long, node_id long, cell string, metres double")
+    asked = spark.createDataFrame([(1, 1, 1.0)], "request_id long, source long, target_miles double")
+    found = {(r.retry, r.route_id, r.connector) for r in pools.serve(asked, nodes, edges, loops, pools.NEAR_RINGS).collect()}
+    assert found == {("none", 7, 220.0), ("none", 8, 440.0)}
+    assert {(r.retry, r.route_id) for r in pools.serve(asked, nodes, edges, loops).collect()} == {("none", 7)}
+
+
 def test_exports(spark):
     points = spark.createDataFrame([(1, 1, 2.5, -1.25, None), (1, 0, 2.0, -1.0, 3.04)], "route_id long, pos long, y double, x double, elevation double")
     assert '<trkpt lat="2.0000000" lon="-1.0000000"><ele>3.0</ele></trkpt><trkpt lat="2.5000000" lon="-1.2500000"></trkpt>' in exports.gpx(points).first().gpx
