@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pacegrid.operators import routes
 
@@ -52,11 +52,17 @@ def distinct_by_streets(placed: DataFrame, streets: DataFrame, group: str, most:
     return out
 
 
-def answer_gate(ranked: DataFrame, wanted: int, tolerance: float = 0.25) -> DataFrame:
-    """(request_id, near, sound, reason): candidates in the distance band, those of them that
-    aren't awkward, and why a request can't be answered; three routes may be two."""
+def answer_gate(ranked: DataFrame, wanted: int, tolerance: float = 0.25, sound: Column | None = None, distinct: DataFrame | None = None) -> DataFrame:
+    """(request_id, near, sound, reason): candidates in the distance band, those of them that are
+    ``sound`` (by default: not awkward), and why a request can't be answered; three routes may be
+    two. ``distinct`` (request_id, distinct) has the size of the choice of distinct routes per
+    request, none counting as 0; without it that reason isn't given."""
     least = 2 if wanted == 3 else wanted
     near = F.col("error") <= tolerance
-    counted = ranked.groupBy("request_id").agg(F.count_if(near).alias("near"), F.count_if(near & ~F.col("awkward")).alias("sound"))
-    reason = F.when(F.col("near") < least, "few in band").when(F.col("sound") < least, "few without doubling back").otherwise("answered")
-    return counted.withColumn("reason", reason)
+    sound = ~F.col("awkward") if sound is None else sound
+    counted = ranked.groupBy("request_id").agg(F.count_if(near).alias("near"), F.count_if(near & sound).alias("sound"))
+    reason = F.when(F.col("near") < least, "few in band").when(F.col("sound") < least, "few without doubling back")
+    if distinct is not None:
+        counted = counted.join(distinct.select("request_id", "distinct"), "request_id", "left")
+        reason = reason.when(F.coalesce("distinct", F.lit(0)) < least, "few distinct")
+    return counted.withColumn("reason", reason.otherwise("answered")).select("request_id", "near", "sound", "reason")

@@ -74,6 +74,27 @@ def test_gate_reasons(spark):
     assert {r.request_id: r.reason for r in found.collect()} == {1: "answered", 2: "few without doubling back", 3: "few in band"}
 
 
+def test_gate_counts_thin_loops_and_distinct_routes(spark):
+    rows = [(1, 0.1, True, 0.0), (1, 0.25, True, 0.1), (2, 0.1, False, 0.0), (2, 0.1, False, 0.2), (3, 0.1, False, 0.0), (3, 0.3, False, 0.0)]
+    rows += [(r, 0.1, False, 0.0) for r in (4, 4, 5, 5)]
+    ranked = spark.createDataFrame(rows, "request_id long, error double, awkward boolean, repeated double")
+    distinct = spark.createDataFrame([(1, 2), (4, 1)], "request_id long, distinct long")
+    found = selection.answer_gate(ranked, 3, 0.25, F.col("repeated") <= 0.10, distinct).collect()
+    assert {r.request_id: r.reason for r in found} == {1: "answered", 2: "few without doubling back", 3: "few in band", 4: "few distinct", 5: "few distinct"}
+
+
+def test_gate_query_counts_by_repetition_in_the_band(spark):
+    from pacegrid.plans import route_queries as q
+
+    ranked = q.scoring.rank(q.t.candidates(spark, "/root/testdata/sf0.001"))
+    near, sound = {}, {}
+    for r in ranked.select("request_id", "error", "repeated").collect():
+        near[r.request_id] = near.get(r.request_id, 0) + (r.error <= 0.25)
+        sound[r.request_id] = sound.get(r.request_id, 0) + (r.error <= 0.25 and r.repeated <= 0.10)
+    found = q.answer_gate(spark, "/root/testdata/sf0.001").collect()
+    assert {(r.request_id, r.near, r.sound) for r in found} == {(k, near[k], sound[k]) for k in near}
+
+
 @pytest.mark.parametrize("n", [1, 2, 19, 20, 21, 100])
 def test_order_statistics(spark, n):
     values = sorted(random.Random(n).choices(range(30), k=n))
