@@ -48,6 +48,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a number of its own for each row, ``__row``; written, so that numbers stay the
+    same however often they are read. Ids may be null or repeat; these don't."""
+    return written(docs.withColumn("__row", F.monotonically_increasing_id()), name)
+
+
 def checked_broadcast(side: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``side`` with a broadcast hint if its counted rows stay within ``limit``; else as it is,
     and Spark shuffles both sides. ``side`` must be cheap to count (a written table)."""

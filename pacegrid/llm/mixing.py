@@ -61,10 +61,11 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, mo
     )
 
 
-def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, copies, taken."""
+def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carried: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, copies, taken and the
+    ``carried`` columns."""
     sized = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size")
+        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"), *carried
     )
     bits = F.length(F.bin("size"))
     sized = sized.withColumn("class", (bits * 8 + F.expr("shiftright(size, greatest(length(bin(size)) - 3, 0))")).cast("long"))
@@ -92,18 +93,18 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     rank = F.col("ahead") + F.col("rank")
     edge = lambda k: F.floor(F.col("start") + F.col("rate") * k)
     full = full.withColumn("copies", edge(rank) - edge(rank - 1))
-    return full.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return full.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *carried)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, with all its columns.
 
-    Rows are matched by id; rows that share an id share their copies: each comes as often as
-    the first of them.
+    Copies are carried by row, so null and repeated ids take no part in it.
     """
-    taken = copies(docs, id_col, text_col, source_col).groupBy(F.col("doc_id").alias("__id")).agg(F.min("copies").alias("__copies"))
+    rows = common.numbered(docs, "mix-rows")
+    taken = copies(rows, id_col, text_col, source_col, ("__row",)).filter("copies > 0").select("__row", F.col("copies").alias("__copies"))
     taken = common.checked_broadcast(common.written(taken, "mix-copies"))
-    joined = docs.join(taken, docs[id_col].eqNullSafe(taken["__id"])).filter("__copies > 0")
+    joined = rows.join(taken, "__row")
     return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
 
 

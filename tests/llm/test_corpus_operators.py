@@ -67,6 +67,23 @@ def test_mixing(spark, docs, empty):
     assert mixing.copies(empty).count() == 0 and mixing.mix(empty).count() == 0
 
 
+def test_mixing_carries_copies_by_row(spark):
+    rows = [(None if i % 3 else i % 7, "w " * i, rng) for i, rng in enumerate(["a", "a", "b", "c", None] * 60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = collections.Counter({(r.source, r.size): r.copies for r in mixing.copies(table).collect() if r.copies})
+    assert collections.Counter((r.source, len(r.text.split())) for r in mixing.mix(table).collect()) == want
+    assert 0 < len(want) < len(rows)
+
+
+def test_near_duplicates_go_by_row(spark):
+    text = lambda k, end: " ".join(f"{k}w{i}" for i in range(60)) + f" {end}"
+    rows = [(3, text("a", "x")), (5, text("a", "y")), (5, text("b", "x")), (None, text("c", "x")), (None, text("c", "y")), (None, text("c", "z")), (None, text("d", "x"))]
+    rows += [(8, text("e", "x")), (8, text("e", "x")), (None, text("e", "y")), (9, text("f", "x")), (9, text("g", "x")), (None, ""), (None, None)]
+    found = jaccard.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = sorted((r.doc_id, (r.text or "")[:2]) if r.doc_id else (0, (r.text or "")[:2]) for r in found)
+    assert got == sorted([(3, "aw"), (5, "bw"), (0, "cw"), (0, "dw"), (8, "ew"), (9, "fw"), (9, "gw"), (0, ""), (0, "")])
+
+
 def shingles(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     if len(words) < 5:
