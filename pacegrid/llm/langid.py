@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import functools
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,7 +33,7 @@ from pacegrid.llm.textkernel import P, mix
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Documents of each language that a fit takes on average: those of small hash of the id.
 SAMPLE_PER_LANGUAGE = 1000
-ROUNDS, SMOOTH, LONGEST = 3, 1e-7, 12
+ROUNDS, SMOOTH = 3, 1e-7
 SLOTS = 1 << 20
 #: Bytes of text whose distinct words are scored together.
 PREDICT_BYTES = 1 << 22
@@ -45,6 +46,7 @@ class Pieces:
     slots: np.ndarray  # (SLOTS,) candidates' number + 1 by the hash's top bits, 0 for none
     hashes: np.ndarray  # of the pieces in slot order
     starts: np.ndarray
+    longest: int  # bytes of the longest piece
 
 
 def _hash(columns: np.ndarray) -> np.ndarray:
@@ -59,12 +61,12 @@ def _hash(columns: np.ndarray) -> np.ndarray:
 def pieces(path: str) -> Pieces:
     with open(path, "rb") as f:
         names = {base64.b64decode(line.split()[0]) for line in f} | {bytes([b]) for b in range(256)}
-    names = sorted(n for n in names if len(n) <= LONGEST and b" " not in n[1:] and not any(65 <= b <= 90 for b in n))
+    names = sorted(n for n in names if b" " not in n[1:] and not any(65 <= b <= 90 for b in n))
     hashes = np.concatenate([_hash(np.frombuffer(n, np.uint8)[None, :]) for n in names])
     order = np.argsort(hashes, kind="stable")
     hashes = hashes[order]
     starts = np.searchsorted(hashes >> np.uint64(44), np.arange(SLOTS + 1, dtype=np.uint64)).astype(np.int32)
-    return Pieces([names[i] for i in order], np.diff(starts).astype(np.int8), hashes, starts)
+    return Pieces([names[i] for i in order], np.diff(starts).astype(np.int8), hashes, starts, max(map(len, names)))
 
 
 def lookup(known: Pieces, hashes: np.ndarray) -> np.ndarray:
@@ -82,27 +84,30 @@ def lookup(known: Pieces, hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def word_pieces(known: Pieces, words: np.ndarray, length: int) -> list[list[np.ndarray]]:
-    """For each end j and piece length l the numbers of the pieces words[:, j - l : j]."""
-    return [
-        [lookup(known, _hash(words[:, j - size : j])) for size in range(1, min(j, LONGEST) + 1)]
-        for j in range(1, length + 1)
-    ]
+def word_pieces(known: Pieces, words: np.ndarray, length: int) -> Iterator[np.ndarray]:
+    """For each end j the numbers of the pieces words[:, j - size : j], (sizes from 1, words)."""
+    rolling = np.zeros((0, len(words)), np.uint64)
+    for j in range(1, length + 1):
+        # The hashes of all pieces that may end here, the shortest first, each a byte longer than before.
+        rolling = np.concatenate([np.zeros((1, len(words)), np.uint64), rolling[: known.longest - 1]])
+        rolling = (rolling + words[:, j - 1].astype(np.uint64) + np.uint64(1)) * np.uint64(P)
+        sizes = np.arange(1, len(rolling) + 1, dtype=np.uint64)[:, None]
+        yield lookup(known, mix(rolling + sizes).ravel()).reshape(rolling.shape)
 
 
-def forward(table: np.ndarray, found: list[list[np.ndarray]], count: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Scaled forward sums per end and the logarithm of the whole sum, (words, languages).
-    ``table`` has a zero row last, for no piece."""
+def forward(table: np.ndarray, found: Iterable[np.ndarray], count: int, longest: int) -> np.ndarray:
+    """Logarithm of the sum over all segmentations, (words, languages). ``table`` has a zero row
+    last, for no piece."""
     alphas, logs = [np.ones((count, table.shape[1]))], np.zeros((count, table.shape[1]))
     for j, ends in enumerate(found, 1):
-        alpha = sum(alphas[j - size] * table[ids] for size, ids in enumerate(ends, 1))
+        alpha = sum(alphas[-size] * table[ids] for size, ids in enumerate(ends, 1) if size == 1 or ids.max() >= 0)
         if j % 8 == 0:  # the sums that are still needed shrink alike
             scale = np.maximum(alpha, 1e-300)
             logs += np.log(scale)
-            alphas = [None] * max(0, j - LONGEST) + [a / scale for a in alphas[max(0, j - LONGEST) :]]
+            alphas = [a / scale for a in alphas]
             alpha = alpha / scale
-        alphas.append(alpha)
-    return alphas, logs + np.log(np.maximum(alphas[-1], 1e-300))
+        alphas = [*alphas[-longest + 1 :], alpha]
+    return logs + np.log(np.maximum(alphas[-1], 1e-300))
 
 
 def by_length(lengths: np.ndarray):
@@ -120,7 +125,7 @@ def log_sums(known: Pieces, table: np.ndarray, data: np.ndarray, start: np.ndarr
         for k in range(0, len(group), step):
             rows = group[k : k + step]
             words = spaced(data, start[rows], length)
-            out[rows] = forward(table, word_pieces(known, words, length + 1), len(rows))[1]
+            out[rows] = forward(table, word_pieces(known, words, length + 1), len(rows), known.longest)
     return out
 
 
@@ -186,27 +191,25 @@ def expected_counts(known: Pieces, table: np.ndarray, words: list[bytes], weight
             rows = group[k : k + max(1, 50_000 // (length + 1))]
             flat = np.frombuffer(b"".join(words[i] for i in rows), np.uint8)
             grid = spaced(flat, np.arange(len(rows)) * length, length)
-            found = word_pieces(known, grid, length + 1)
-            alphas = [np.ones((len(rows), table.shape[1]))]
-            for j, ends in enumerate(found, 1):
-                alphas.append(sum(alphas[j - s] * table[ids] for s, ids in enumerate(ends, 1)))
-            betas = [np.zeros((len(rows), table.shape[1])) for _ in alphas]
-            betas[-1][:] = 1
+            found = list(word_pieces(known, grid, length + 1))
+            # Logarithms of the forward sums; no word is too long for them.
+            logs = [np.zeros((len(rows), table.shape[1]))]
+            for ends in found:
+                near = sum(np.exp(logs[-s] - logs[-1]) * table[ids] for s, ids in enumerate(ends, 1) if s == 1 or ids.max() >= 0)
+                logs.append(logs[-1] + np.log(np.maximum(near, 1e-300)))
+            # Expected times that a segmentation has a boundary at each place.
+            cuts = [np.zeros((len(rows), table.shape[1])) for _ in logs]
+            cuts[-1][:] = weights[rows]
             for j in range(len(found), 0, -1):
                 for s, ids in enumerate(found[j - 1], 1):
-                    betas[j - s] += table[ids] * betas[j]
-            whole = np.maximum(alphas[-1], 1e-300)
-            for j, ends in enumerate(found, 1):
-                for s, ids in enumerate(ends, 1):
-                    share = alphas[j - s] * table[ids] * betas[j] / whole * weights[rows]
+                    if s > 1 and ids.max() < 0:
+                        continue
+                    share = np.exp(logs[j - s] - logs[j]) * table[ids] * cuts[j]
+                    cuts[j - s] += share
                     np.add.at(out, ids, share)
     return out[:-1]
 
 
-#: Longest words that the fit counts, in bytes; scoring takes words of any length.
-FIT_BYTES = 40
-
-
 def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Word counts of a bounded sample are summed by Spark; each round of expectation
     maximisation computes expected piece counts on the executors and sums them by piece."""
@@ -225,8 +228,6 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, path: str | No
         for batch in common.text_slices(batches, "text"):
             data, offsets, _ = lowered(batch.column(1))
             start, end, doc = words_of(data, offsets)
-            kept = end - start <= FIT_BYTES
-            start, end, doc = start[kept], end[kept], doc[kept]
             first, number = unique_words(data, start, end)
             lang = np.array([languages.index(x) for x in batch.column(2).to_pylist()])
             pairs, n = np.unique(number * len(languages) + lang[doc], return_counts=True)

@@ -154,6 +154,22 @@ def test_forward_sums_all_segmentations():
         assert row == pytest.approx([math.log(brute(b" " + w, k)) for k in (0, 1)])
 
 
+def test_long_pieces_and_long_words_count():
+    known = langid.pieces(langid.public_tokenizers.path(langid.VOCABULARY))
+    piece = max((n for n in known.names if n.startswith(b" ")), key=len)
+    table = np.full((len(known.names) + 1, 2), 1e-7)
+    table[-1] = 0
+    at = known.names.index(piece)
+    table[at, 0] = 0.5
+    data = np.frombuffer(piece[1:], np.uint8)
+    logs = langid.log_sums(known, table, data, np.array([0]), np.array([len(data)]))
+    assert len(piece) > 12 and logs[0, 0] == pytest.approx(math.log(0.5), abs=1e-3) and logs[0, 1] < -10
+    counts = langid.expected_counts(known, table, [piece[1:], "\u0430".encode() * 4000], np.array([[3.0, 0.0], [0.0, 1.0]]))
+    assert counts[at, 0] == pytest.approx(3, rel=1e-3) and np.isfinite(counts).all()
+    sizes = np.array([len(n) for n in known.names])
+    assert sizes @ counts[:, 1] == pytest.approx(8001)
+
+
 def test_language_learns_and_handles_edges(spark, docs, empty):
     en, fr = "the thing with that other house and of them", "la maison avec une autre chose pour les gens"
     rng = random.Random(2)
