@@ -11,10 +11,14 @@ nodes that aren't linked otherwise yet:
 
 1. star rounds compare each node with a few leaders that it shares most first n-grams with, so
    a group of thousands of near copies falls together by a few pairs per node;
-2. the last round takes every remaining candidate pair of nodes in different components.
+2. the last round takes every remaining candidate pair of nodes in different components. First
+   n-grams that at most ``RARE`` nodes share give their pairs at once. A pair that only has
+   more crowded ones has two crowded ends: the sets of those nodes alone are put in a second
+   order, by their exact number of nodes, and pairs need a first n-gram in common there. A
+   passage in many documents stands last in it, so documents that share little else don't meet.
 
 No pair that could link two components is left out, and no group is expanded into all pairs.
-Which n-grams count as frequent only moves work, never results.
+Which n-grams count as frequent or crowded only moves work, never results.
 
 Defined results: words are runs of other than white space with A-Z lower-cased; with fewer
 than five words the whole sequence is one n-gram; a null or wordless text has an empty set and
@@ -47,6 +51,12 @@ FREQUENT_LOCAL, FREQUENT_WINDOW, FREQUENT_LEAST, FREQUENT_KEPT = 2, 1 << 22, 16,
 #: Rounds of star pairs, and leaders that a node is compared with in each.
 STAR_ROUNDS, LEADERS = 2, 2
 
+#: Nodes up to which a shared first n-gram gives pairs without the second order.
+RARE = 8
+
+#: Rows of one leader's fragment that meet in one group of the overlap count.
+MEMBERS = 256
+
 
 def frequent_ngrams(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, ranks) in hash order of frequent n-grams, ``FREQUENT_KEPT`` at most; a higher
@@ -88,62 +98,72 @@ def in_order(grams: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> tupl
     return grams[~often], grams[often][np.argsort(ranks[at[often]], kind="stable")]
 
 
-def node_of(grams: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True)
+def signature_of(grams: np.ndarray) -> bytes:
+    """128 bits that name a set."""
+    return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
 
 
 def signatures(docs: DataFrame, frequent) -> DataFrame:
-    """(doc_id, n_shingles, node, prefix, rid) of every document, written; empty sets have no node."""
+    """(doc_id, n_shingles, signature, prefix, rid) of every document, written; empty sets have no
+    signature."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
     id_type = docs.schema["id"].dataType.simpleString()
 
     def run(batches):
         for batch in common.text_slices(batches, "text"):
-            sizes, nodes, prefixes = [], [], []
+            sizes, names, prefixes = [], [], []
             for grams in shingle_sets(*common.text_buffer(batch.column(1)), WORDS):
                 n = len(grams)
                 sizes.append(n)
-                nodes.append(node_of(grams) if n else None)
+                names.append(signature_of(grams) if n else None)
                 first = n - -(-PERCENT * n // 100) + 1 if n else 0
                 rare, often = in_order(grams, shared.value)
                 prefixes.append(rare[:first] if len(rare) >= first else np.concatenate([rare, often])[:first])
             cut = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             flat = common.as_signed(np.concatenate(prefixes)) if prefixes else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(cut), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), lists], ["id", "n_shingles", "node", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), lists], ["id", "n_shingles", "signature", "prefix"])
 
-    found = docs.mapInArrow(run, f"id {id_type}, n_shingles long, node long, prefix array<long>")
+    found = docs.mapInArrow(run, f"id {id_type}, n_shingles long, signature binary, prefix array<long>")
     return common.written(found.withColumnRenamed("id", "doc_id").withColumn("rid", F.monotonically_increasing_id()), "jaccard-signatures")
 
 
-def shared_postings(signed: DataFrame) -> DataFrame:
+def named_sets(signed: DataFrame) -> DataFrame:
+    """(signature, node, first) of every distinct set, written: its node is the least row number
+    that has it, and ``first`` its smallest id."""
+    sets = signed.filter("signature is not null").groupBy("signature").agg(F.min("rid").alias("node"), F.min("doc_id").alias("first"))
+    return common.written(sets, "jaccard-sets")
+
+
+def shared_postings(signed: DataFrame, sets: DataFrame) -> DataFrame:
     """(gram, place, node, n) of first n-grams that several documents have, written. Only a row
     number goes through the large shuffles with each n-gram."""
-    postings = signed.filter("node is not null").select(F.posexplode("prefix").alias("place", "gram"), "rid")
+    postings = signed.filter("signature is not null").select(F.posexplode("prefix").alias("place", "gram"), "rid")
     again = postings.groupBy("gram").agg(F.count("*").alias("rows")).filter("rows > 1").select("gram")
-    named = postings.join(again, "gram").join(signed.select("rid", "node", F.col("n_shingles").cast("int").alias("n")), "rid").drop("rid")
+    owners = signed.select("signature", "rid", F.col("n_shingles").cast("int").alias("n")).join(sets, "signature").select("rid", "node", "n")
+    named = postings.join(again, "gram").join(owners, "rid").drop("rid")
     return common.written(named.distinct(), "jaccard-postings")
 
 
-def segments(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, frequent, fragments: range) -> DataFrame:
-    """(node, fragment, grams) of the ends of the pairs (a, b, ...), written. Fragments are equal
-    ranges of hashes; the last one takes the frequent n-grams. Only the texts of these ends are
-    read again."""
+def segments(docs: DataFrame, sets: DataFrame, nodes: DataFrame, frequent, fragments: range) -> DataFrame:
+    """(node, fragment, grams) of the given nodes, written. Fragments are equal ranges of hashes;
+    the last one takes the frequent n-grams. Only texts of documents that are the first of one of
+    these nodes are read again, and a text gives segments if its set is that node's."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = common.written(firsts.join(ends, "node", "left_semi").select(F.col("first").alias("wanted")).distinct(), "jaccard-wanted")
-    texts = docs.join(common.checked_broadcast(wanted), F.col("id").eqNullSafe(F.col("wanted")), "left_semi").select("text")
+    wanted = sets.join(nodes, "node", "left_semi").select(F.col("first").alias("wanted"), "signature", "node")
+    wanted = common.checked_broadcast(common.written(wanted, "jaccard-wanted"))
+    texts = docs.join(wanted, F.col("id").eqNullSafe(F.col("wanted"))).select("text", "signature", "node")
     width = np.uint64(2**64 // (FRAGMENTS - 1) + 1)
 
     def run(batches):
         for batch in common.text_slices(batches, "text"):
             nodes, numbers, parts = [], [], []
-            for grams in shingle_sets(*common.text_buffer(batch.column(0)), WORDS):
-                if not len(grams):
+            named = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            for grams, (signature, node) in zip(shingle_sets(*common.text_buffer(batch.column(0)), WORDS), named, strict=True):
+                if not len(grams) or signature_of(grams) != signature:
                     continue
                 rare, often = in_order(grams, shared.value)
                 cuts = np.searchsorted(rare // width, np.arange(FRAGMENTS, dtype=np.uint64))
-                node = node_of(grams)
                 for k in fragments:
                     part = np.sort(often) if k == FRAGMENTS - 1 else rare[cuts[k] : cuts[k + 1]]
                     nodes.append(node), numbers.append(k), parts.append(part)
@@ -156,26 +176,33 @@ def segments(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, frequent, fra
 
 def overlaps(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     """(a, b, n, m, overlap, apart) of the written pairs: n-grams shared, and n-grams of one set
-    alone, each counted by fragment and summed over the fragments of ``parts``."""
-    mine = common.checked_broadcast(pairs)
-    left = parts.join(mine, parts.node == mine.a).select("a", "b", "n", "m", "fragment", F.col("grams").alias("own"))
-    ends = common.checked_broadcast(common.written(pairs.select(F.col("b").alias("node")).distinct(), "jaccard-ends"))
-    right = parts.join(ends, "node", "left_semi").select(F.col("node").alias("b"), "fragment", F.col("grams").alias("other"))
-    both = left.join(right, ["b", "fragment"]).withColumn("overlap", F.size(F.array_intersect("own", "other")))
+    alone, each counted by fragment and summed over the fragments of ``parts``. A node b that very
+    many a meet is repeated, and its rows dealt over the repeats."""
+    ends = pairs.groupBy("b").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("deals"))
+    ends = common.checked_broadcast(common.written(ends, "jaccard-ends"))
+    mine = pairs.join(ends, "b").withColumn("deal", F.pmod(F.xxhash64("a"), F.col("deals")).cast("int")).drop("deals")
+    mine = common.checked_broadcast(common.written(mine, "jaccard-mine"))
+    left = parts.join(mine, parts.node == mine.a).select("a", "b", "n", "m", "deal", "fragment", F.col("grams").alias("own"))
+    right = parts.join(ends, parts.node == ends.b).select("b", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), "fragment", F.col("grams").alias("other"))
+    both = left.join(right, ["b", "deal", "fragment"]).withColumn("overlap", F.size(F.array_intersect("own", "other")))
     # A repeated row repeats its segments: one count per fragment goes into the sum.
     apart = F.size("own") + F.size("other") - 2 * F.col("overlap")
     counted = both.groupBy("a", "b", "n", "m", "fragment").agg(F.max("overlap").alias("overlap"), F.max(apart).alias("apart"))
     return counted.groupBy("a", "b", "n", "m").agg(F.sum("overlap").alias("overlap"), F.sum("apart").alias("apart"))
 
 
-def links(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, frequent) -> DataFrame:
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+
+
+def links(pairs: DataFrame, docs: DataFrame, sets: DataFrame, frequent) -> DataFrame:
     """(a, b) of the written pairs (a, b, n, m) whose overlap is large enough, written. The first
     fragments rule out pairs that differ there more than a link may differ anywhere; only the
     others' further segments are made and moved."""
-    early = overlaps(pairs, segments(docs, firsts, pairs, frequent, range(PRUNING)))
+    early = overlaps(pairs, segments(docs, sets, _ends(pairs), frequent, range(PRUNING)))
     early = early.filter(f"apart <= n + m - 2 * {OVERLAP}").select("a", "b", "n", "m", F.col("overlap").alias("so_far"))
     early = common.written(early, "jaccard-early")
-    rest = overlaps(early.select("a", "b", "n", "m"), segments(docs, firsts, early, frequent, range(PRUNING, FRAGMENTS)))
+    rest = overlaps(early.select("a", "b", "n", "m"), segments(docs, sets, _ends(early), frequent, range(PRUNING, FRAGMENTS)))
     whole = rest.join(early.select("a", "b", "so_far"), ["a", "b"]).withColumn("overlap", F.col("overlap") + F.col("so_far"))
     close = whole.filter(100 * F.col("overlap") >= PERCENT * (F.col("n") + F.col("m") - F.col("overlap")))
     return common.written(close.select("a", "b"), "jaccard-links")
@@ -212,13 +239,52 @@ def star_pairs(labelled: DataFrame, turn: int) -> DataFrame:
     return often.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= LEADERS).select("a", "b", "n", "m")
 
 
-def open_pairs(labelled: DataFrame) -> DataFrame:
-    """All pairs (a, b, n, m) of nodes of different labels that share a first n-gram."""
-    split = labelled.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("gram")
-    rows = common.written(labelled.join(split, "gram"), "jaccard-open")
-    left = rows.select("gram", F.col("node").alias("a"), "n", F.col("label").alias("own"), "place")
-    right = rows.select("gram", F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"), F.col("place").alias("there"))
-    return left.join(right, "gram").filter(f"a < b and own <> other and {LIKELY}").select("a", "b", "n", "m").distinct()
+def _split(postings: DataFrame, name: str) -> DataFrame:
+    """Postings of n-grams that nodes of different labels share, with their number of nodes and the
+    label that most of these have, written."""
+    by_label = postings.groupBy("gram", "label").agg(F.count("*").alias("rows"))
+    seen = by_label.groupBy("gram").agg(F.sum("rows").alias("nodes"), F.count("*").alias("labels"), F.max(F.struct("rows", "label"))["label"].alias("main"))
+    return common.written(postings.join(seen.filter("labels > 1").drop("labels"), "gram"), name)
+
+
+def _across(split: DataFrame) -> DataFrame:
+    """Pairs (a, b, n, m) of different labels that share an n-gram, from ``_split`` with a column
+    ``crowded``; two crowded nodes give none. Nodes of an n-gram's main label don't meet each
+    other."""
+    left = split.filter("label <> main").select("gram", F.col("node").alias("x"), "n", F.col("label").alias("own"), "place", "crowded")
+    right = split.select("gram", F.col("node").alias("y"), F.col("n").alias("m"), F.col("label").alias("other"), F.col("place").alias("there"), F.col("crowded").alias("full"))
+    met = left.join(right, "gram").filter(f"own <> other and not (crowded and full) and {LIKELY}")
+    first = F.col("x") < F.col("y")
+    sized = lambda yes, no: F.when(first, F.col(yes)).otherwise(F.col(no))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), sized("n", "m").alias("n"), sized("m", "n").alias("m"))
+
+
+def second_order(crowded: DataFrame, parts: DataFrame) -> DataFrame:
+    """(gram, node, n, label, place) of the first n-grams of the crowded nodes (node, n, label) in
+    the order of how many of these nodes have an n-gram; those of one node alone, which come first
+    and meet nothing, only count as places. ``parts`` as of ``segments``, all fragments."""
+    grams = parts.select("node", F.explode("grams").alias("gram")).distinct()
+    shared = grams.groupBy("gram").agg(F.count("*").alias("nodes")).filter("nodes > 1")
+    rows = grams.join(shared, "gram").join(crowded, "node")
+    own = Window.partitionBy("node")
+    placed = rows.withColumn("place", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("nodes", "gram")) - 1)
+    return placed.filter(f"100 * place <= {100 - PERCENT} * n").select("gram", "node", "n", "label", "place")
+
+
+def open_pairs(labelled: DataFrame, docs: DataFrame, sets: DataFrame, frequent) -> DataFrame:
+    """All pairs (a, b, n, m) of nodes of different labels that may be linked: those that share a
+    first n-gram of ``RARE`` nodes at most, and, of two crowded nodes, those that share one in the
+    second order. A pair with an end that isn't crowded has a first n-gram of the former kind."""
+    split = _split(labelled, "jaccard-open")
+    crowded = common.written(split.filter(F.col("nodes") > RARE).select("node", "n", "label").distinct(), "jaccard-crowded")
+    marks = common.checked_broadcast(crowded.select("node", F.lit(True).alias("crowded")))
+    few = split.filter(F.col("nodes") <= RARE).join(marks, "node", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
+    pairs = _across(few)
+    if not crowded.isEmpty():
+        parts = segments(docs, sets, crowded, frequent, range(FRAGMENTS))
+        again = _split(second_order(crowded, parts), "jaccard-second")
+        pairs = pairs.unionByName(_across(again.withColumn("crowded", F.lit(False))))
+    return pairs.distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -226,38 +292,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     frequent = frequent_ngrams(rows)
     signed = signatures(rows, frequent)
-    postings = shared_postings(signed)
+    sets = named_sets(signed)
+    postings = shared_postings(signed, sets)
     labels = None
     if not postings.isEmpty():
-        firsts = common.written(signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first")), "jaccard-firsts")
         found, tested = [], []
         for turn in range(STAR_ROUNDS):
             pairs = common.written(star_pairs(_labelled(postings, labels), turn), "jaccard-pairs")
             if pairs.isEmpty():
                 break
-            new = links(pairs, rows, firsts, frequent)
+            new = links(pairs, rows, sets, frequent)
             tested.append(pairs)
             if new.isEmpty():
                 break
             found.append(new)
             labels = components(_union(found))
-        pairs = open_pairs(_labelled(postings, labels))
+        pairs = open_pairs(_labelled(postings, labels), rows, sets, frequent)
         for old in tested:
             known = old.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
             pairs = pairs.join(known, ["a", "b"], "left_anti")
         pairs = common.written(pairs, "jaccard-pairs")
         if not pairs.isEmpty():
-            new = links(pairs, rows, firsts, frequent)
+            new = links(pairs, rows, sets, frequent)
             if not new.isEmpty():
                 labels = components(_union([*found, new]))
-    nodes = signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
+    nodes = sets.select("signature", "node", "first")
     if labels is not None:
         named = nodes.join(labels.withColumnRenamed("vertex", "node"), "node", "left").withColumn("label", F.coalesce("label", "node"))
         named = common.written(named, "jaccard-named")
         firsts = named.groupBy("label").agg(F.min("first").alias("component"))
-        nodes = named.join(firsts, "label").select("node", F.col("component").alias("first"))
-    joined = signed.select("doc_id", "n_shingles", "node").join(nodes, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("first"))
+        nodes = named.join(firsts, "label").select("signature", F.col("component").alias("first"))
+    joined = signed.select("doc_id", "n_shingles", "signature").join(nodes.select("signature", "first"), "signature", "left")
+    component = F.when(F.col("signature").isNull(), F.col("doc_id")).otherwise(F.col("first"))
     return joined.select(F.col("doc_id").alias(id_col), "n_shingles", component.alias("component_id"))
 
 
