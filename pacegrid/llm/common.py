@@ -45,7 +45,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     was computed survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.written_to = path
+    return back
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table of ``written`` that nothing reads any more; what was computed from it must be
+    written itself."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.written_to)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def numbered(docs: DataFrame, name: str) -> DataFrame:

@@ -13,9 +13,12 @@ nodes that aren't linked otherwise yet:
    a group of thousands of near copies falls together by a few pairs per node;
 2. the last round takes every remaining candidate pair of nodes in different components. First
    n-grams that at most ``RARE`` nodes share give their pairs at once. A pair that only has
-   more crowded ones has two crowded ends: the sets of those nodes alone are put in a second
-   order, by their exact number of nodes, and pairs need a first n-gram in common there. A
-   passage in many documents stands last in it, so documents that share little else don't meet.
+   more crowded ones has two crowded ends. Those nodes' next n-grams, ``SPARE`` as many as their
+   first ones, are counted as well, and in a second order the ones that more than ``RARE`` nodes
+   have come last: a passage of many documents is passed over, and documents that share little
+   else don't meet. Nodes that run out of rare n-grams that way have their whole sets counted,
+   and meet each other in the exact order of rarity and the other crowded nodes at their rare
+   n-grams.
 
 No pair that could link two components is left out, and no group is expanded into all pairs.
 Which n-grams count as frequent or crowded only moves work, never results.
@@ -51,8 +54,9 @@ FREQUENT_LOCAL, FREQUENT_WINDOW, FREQUENT_LEAST, FREQUENT_KEPT = 2, 1 << 22, 16,
 #: Rounds of star pairs, and leaders that a node is compared with in each.
 STAR_ROUNDS, LEADERS = 2, 2
 
-#: Nodes up to which a shared first n-gram gives pairs without the second order.
-RARE = 8
+#: Nodes up to which a shared first n-gram gives pairs without the second order; further n-grams
+#: that are kept for it, in parts of the first ones.
+RARE, SPARE = 8, 0.5
 
 #: Rows of one leader's fragment that meet in one group of the overlap count.
 MEMBERS = 256
@@ -103,28 +107,34 @@ def signature_of(grams: np.ndarray) -> bytes:
     return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
 
 
+def lists_of(parts: list[np.ndarray]) -> pa.ListArray:
+    """One list of signed hashes per part."""
+    cut = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(cut), pa.array(common.as_signed(np.concatenate(parts)) if parts else np.zeros(0, np.int64)))
+
+
 def signatures(docs: DataFrame, frequent) -> DataFrame:
-    """(doc_id, n_shingles, signature, prefix, rid) of every document, written; empty sets have no
-    signature."""
+    """(doc_id, n_shingles, signature, prefix, spare, rid) of every document, written; empty sets
+    have no signature."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
     id_type = docs.schema["id"].dataType.simpleString()
 
     def run(batches):
         for batch in common.text_slices(batches, "text"):
-            sizes, names, prefixes = [], [], []
+            sizes, names, prefixes, spares = [], [], [], []
             for grams in shingle_sets(*common.text_buffer(batch.column(1)), WORDS):
                 n = len(grams)
                 sizes.append(n)
                 names.append(signature_of(grams) if n else None)
                 first = n - -(-PERCENT * n // 100) + 1 if n else 0
+                window = first + int(SPARE * first)
                 rare, often = in_order(grams, shared.value)
-                prefixes.append(rare[:first] if len(rare) >= first else np.concatenate([rare, often])[:first])
-            cut = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
-            flat = common.as_signed(np.concatenate(prefixes)) if prefixes else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(cut), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), lists], ["id", "n_shingles", "signature", "prefix"])
+                leading = rare[:window] if len(rare) >= window else np.concatenate([rare, often])[:window]
+                prefixes.append(leading[:first]), spares.append(leading[first:])
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), lists_of(prefixes), lists_of(spares)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n_shingles", "signature", "prefix", "spare"])
 
-    found = docs.mapInArrow(run, f"id {id_type}, n_shingles long, signature binary, prefix array<long>")
+    found = docs.mapInArrow(run, f"id {id_type}, n_shingles long, signature binary, prefix array<long>, spare array<long>")
     return common.written(found.withColumnRenamed("id", "doc_id").withColumn("rid", F.monotonically_increasing_id()), "jaccard-signatures")
 
 
@@ -167,9 +177,7 @@ def segments(docs: DataFrame, sets: DataFrame, nodes: DataFrame, frequent, fragm
                 for k in fragments:
                     part = np.sort(often) if k == FRAGMENTS - 1 else rare[cuts[k] : cuts[k + 1]]
                     nodes.append(node), numbers.append(k), parts.append(part)
-            lengths = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-            flat = common.as_signed(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(numbers, pa.int32()), pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat))], ["node", "fragment", "grams"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(numbers, pa.int32()), lists_of(parts)], ["node", "fragment", "grams"])
 
     return common.written(texts.mapInArrow(run, "node long, fragment int, grams array<long>"), "jaccard-segments")
 
@@ -199,13 +207,18 @@ def links(pairs: DataFrame, docs: DataFrame, sets: DataFrame, frequent) -> DataF
     """(a, b) of the written pairs (a, b, n, m) whose overlap is large enough, written. The first
     fragments rule out pairs that differ there more than a link may differ anywhere; only the
     others' further segments are made and moved."""
-    early = overlaps(pairs, segments(docs, sets, _ends(pairs), frequent, range(PRUNING)))
+    parts = segments(docs, sets, _ends(pairs), frequent, range(PRUNING))
+    early = overlaps(pairs, parts)
     early = early.filter(f"apart <= n + m - 2 * {OVERLAP}").select("a", "b", "n", "m", F.col("overlap").alias("so_far"))
     early = common.written(early, "jaccard-early")
-    rest = overlaps(early.select("a", "b", "n", "m"), segments(docs, sets, _ends(early), frequent, range(PRUNING, FRAGMENTS)))
+    common.discard(parts)
+    parts = segments(docs, sets, _ends(early), frequent, range(PRUNING, FRAGMENTS))
+    rest = overlaps(early.select("a", "b", "n", "m"), parts)
     whole = rest.join(early.select("a", "b", "so_far"), ["a", "b"]).withColumn("overlap", F.col("overlap") + F.col("so_far"))
     close = whole.filter(100 * F.col("overlap") >= PERCENT * (F.col("n") + F.col("m") - F.col("overlap")))
-    return common.written(close.select("a", "b"), "jaccard-links")
+    close = common.written(close.select("a", "b"), "jaccard-links")
+    common.discard(parts)
+    return close
 
 
 #: What a shared n-gram's places in two sets of sizes n and m must allow: with the overlap
@@ -254,37 +267,84 @@ def _across(split: DataFrame) -> DataFrame:
     left = split.filter("label <> main").select("gram", F.col("node").alias("x"), "n", F.col("label").alias("own"), "place", "crowded")
     right = split.select("gram", F.col("node").alias("y"), F.col("n").alias("m"), F.col("label").alias("other"), F.col("place").alias("there"), F.col("crowded").alias("full"))
     met = left.join(right, "gram").filter(f"own <> other and not (crowded and full) and {LIKELY}")
-    first = F.col("x") < F.col("y")
-    sized = lambda yes, no: F.when(first, F.col(yes)).otherwise(F.col(no))
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), sized("n", "m").alias("n"), sized("m", "n").alias("m"))
+    return met.select(F.col("x").alias("a"), F.col("y").alias("b"), "n", "m")
+
+
+#: Places that a set's first n-grams take.
+FIRST = f"100 * place <= {100 - PERCENT} * n"
+
+#: N-grams of a set kept behind its first ones.
+SPARES = f"int({SPARE} * (({100 - PERCENT} * n) div 100 + 1))"
+
+
+def windows(crowded: DataFrame, signed: DataFrame) -> DataFrame:
+    """(node, at, gram): the kept n-grams of the crowded nodes with their places."""
+    rows = signed.join(common.checked_broadcast(crowded.select("node")), F.col("rid") == F.col("node"))
+    return rows.select("node", F.posexplode(F.concat("prefix", "spare")).alias("at", "gram"))
+
+
+def second_order(crowded: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of the crowded nodes (node, n, label) with their ``windows``: postings (gram, node, n, label,
+    place) in the second order of the settled nodes, all rare; (node, n, label) of the short nodes,
+    whose windows hold too few rare n-grams; and the n-grams that aren't rare. All written."""
+    counts = common.written(kept.groupBy("gram").agg(F.count("*").alias("nodes")).filter("nodes > 1"), "jaccard-counts")
+    full = F.col("nodes") > RARE
+    rows = kept.join(counts, "gram").join(crowded, "node")
+    rows = rows.withColumn("place", F.col("at") - F.count_if(full).over(Window.partitionBy("node").orderBy("at"))).withColumn("full", full)
+    rows = common.written(rows.select("gram", "node", "n", "label", "place", "full"), "jaccard-windows")
+    short = rows.groupBy("node", "n", "label").agg(F.count_if("full").alias("passed")).filter(F.col("passed") > F.expr(SPARES))
+    short = common.written(short.select("node", "n", "label"), "jaccard-short")
+    settled = rows.filter(f"not full and {FIRST}").join(common.checked_broadcast(short.select("node")), "node", "left_anti")
+    return settled.select("gram", "node", "n", "label", "place"), short, counts.filter(full).select("gram")
+
+
+def rare_meetings(crowded: DataFrame, kept: DataFrame, short: DataFrame, grams: DataFrame, full: DataFrame) -> DataFrame:
+    """Pairs (a, b, n, m) of a settled and a short node of different labels that share a rare n-gram
+    of the former's window: at most ``RARE`` windows hold it."""
+    far = grams.distinct().join(full, "gram", "left_anti").join(short.select("node", F.col("n").alias("m"), F.col("label").alias("other"), F.lit(0).alias("there")), "node")
+    near = kept.join(crowded.join(short.select("node"), "node", "left_anti"), "node")
+    # Not all n-grams passed over stand before this one.
+    near = near.withColumn("place", F.expr(f"greatest(0, at - {SPARES})"))
+    met = near.withColumnRenamed("node", "a").join(far.withColumnRenamed("node", "b"), "gram").filter(f"label <> other and {FIRST} and {LIKELY}")
+    return met.select("a", "b", "n", "m")
 
 
-def second_order(crowded: DataFrame, parts: DataFrame) -> DataFrame:
-    """(gram, node, n, label, place) of the first n-grams of the crowded nodes (node, n, label) in
-    the order of how many of these nodes have an n-gram; those of one node alone, which come first
-    and meet nothing, only count as places. ``parts`` as of ``segments``, all fragments."""
-    grams = parts.select("node", F.explode("grams").alias("gram")).distinct()
+def exact_order(short: DataFrame, grams: DataFrame) -> DataFrame:
+    """(gram, node, n, label, place) of the first n-grams of the nodes in the order of how many of
+    them have an n-gram; those of one node alone, which come first and meet nothing, only count
+    as places. ``grams`` (node, gram) has their whole sets; repeats of rows don't count."""
     shared = grams.groupBy("gram").agg(F.count("*").alias("nodes")).filter("nodes > 1")
-    rows = grams.join(shared, "gram").join(crowded, "node")
     own = Window.partitionBy("node")
-    placed = rows.withColumn("place", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("nodes", "gram")) - 1)
-    return placed.filter(f"100 * place <= {100 - PERCENT} * n").select("gram", "node", "n", "label", "place")
+    placed = grams.join(shared, "gram").withColumn("rank", F.dense_rank().over(own.orderBy("nodes", "gram")))
+    placed = placed.withColumn("shared", F.max("rank").over(own)).join(short, "node").withColumn("place", F.col("n") - F.col("shared") + F.col("rank") - 1)
+    return placed.filter(FIRST).select("gram", "node", "n", "label", "place").distinct()
 
 
-def open_pairs(labelled: DataFrame, docs: DataFrame, sets: DataFrame, frequent) -> DataFrame:
-    """All pairs (a, b, n, m) of nodes of different labels that may be linked: those that share a
-    first n-gram of ``RARE`` nodes at most, and, of two crowded nodes, those that share one in the
-    second order. A pair with an end that isn't crowded has a first n-gram of the former kind."""
+def open_pairs(labelled: DataFrame, docs: DataFrame, signed: DataFrame, sets: DataFrame, frequent) -> DataFrame:
+    """All pairs (a, b, n, m) of nodes of different labels that may be linked, written: those that
+    share a first n-gram of ``RARE`` nodes at most, and pairs of two crowded nodes by the second
+    order. A pair with an end that isn't crowded has a first n-gram of the former kind."""
     split = _split(labelled, "jaccard-open")
     crowded = common.written(split.filter(F.col("nodes") > RARE).select("node", "n", "label").distinct(), "jaccard-crowded")
     marks = common.checked_broadcast(crowded.select("node", F.lit(True).alias("crowded")))
     few = split.filter(F.col("nodes") <= RARE).join(marks, "node", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
-    pairs = _across(few)
+    pairs, parts = _across(few), None
+    alike = lambda rows, name: _across(_split(rows, name).withColumn("crowded", F.lit(False)))
     if not crowded.isEmpty():
-        parts = segments(docs, sets, crowded, frequent, range(FRAGMENTS))
-        again = _split(second_order(crowded, parts), "jaccard-second")
-        pairs = pairs.unionByName(_across(again.withColumn("crowded", F.lit(False))))
-    return pairs.distinct()
+        kept = windows(crowded, signed)
+        settled, short, full = second_order(crowded, kept)
+        pairs = pairs.unionByName(alike(settled, "jaccard-second"))
+        if not short.isEmpty():
+            parts = segments(docs, sets, short.select("node"), frequent, range(FRAGMENTS))
+            grams = parts.select("node", F.explode("grams").alias("gram"))
+            pairs = pairs.unionByName(alike(exact_order(short, grams), "jaccard-third"))
+            pairs = pairs.unionByName(rare_meetings(crowded, kept, short, grams, full))
+    sized = lambda yes, no: F.when(F.col("a") < F.col("b"), F.col(yes)).otherwise(F.col(no))
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), sized("n", "m").alias("n"), sized("m", "n").alias("m"))
+    pairs = common.written(pairs.distinct(), "jaccard-candidates")
+    if parts is not None:
+        common.discard(parts)
+    return pairs
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -307,7 +367,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 break
             found.append(new)
             labels = components(_union(found))
-        pairs = open_pairs(_labelled(postings, labels), rows, sets, frequent)
+        pairs = open_pairs(_labelled(postings, labels), rows, signed, sets, frequent)
         for old in tested:
             known = old.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
             pairs = pairs.join(known, ["a", "b"], "left_anti")

@@ -102,7 +102,11 @@ def brute_components(texts):
     return name, {i: len(s) for i, s in sets.items()}
 
 
-def test_jaccard_against_brute_force(spark):
+@pytest.mark.parametrize("rare,rounds", [(8, 2), (2, 0)])
+def test_jaccard_against_brute_force(spark, monkeypatch, rare, rounds):
+    # Without star rounds and with few nodes for an n-gram, the later orders give most pairs.
+    monkeypatch.setattr(jaccard, "RARE", rare)
+    monkeypatch.setattr(jaccard, "STAR_ROUNDS", rounds)
     rng = random.Random(9)
     word = lambda: "".join(rng.choices("abcdefg", k=3))
     base = [[word() for _ in range(rng.choice([3, 5, 8, 30, 80, 150]))] for _ in range(25)]
