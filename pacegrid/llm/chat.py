@@ -2,9 +2,14 @@
 
 The template is any function from a list of (role, text) turns to a string. Successive turn
 prefixes are rendered and consecutive outputs compared: what a prefix adds is the turn's span.
-A probe per turn, rendered with an unused private-use character in place of the text, locates
-the text inside the span. A template whose output for a longer prefix doesn't begin with that for
-the shorter one rewrites history; such conversations are marked and get no loss mask.
+A probe per turn, rendered with a string that doesn't occur in place of the text, locates the
+text inside the span. A template whose output for a longer prefix doesn't begin with that for
+the shorter one rewrites history; such conversations are marked and get no loss mask. Where an
+assistant's text can't be located although history stands, an error says so: no text is lost
+from the mask.
+
+The template is called for every prefix, so work grows with the square of a conversation's
+turns; a conversation is one string and one task's work.
 
 Defined results: turns stand in the order (turn, role, text), null turns last; a null text or
 role counts as empty; repeated rows are turns of their own; rows with a null conversation id
@@ -16,6 +21,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import re
 from collections.abc import Callable
 
@@ -27,7 +33,7 @@ from pacegrid.llm import common
 Turns = list[tuple[str, str]]
 Template = Callable[[Turns], str]
 
-#: Code points of which the first unused one stands for a text in a probe.
+#: Code points that stand for a text in a probe; where all occur, they enclose a number.
 PROBES = range(0xE000, 0xF900)
 
 #: Control strings of the template.
@@ -102,15 +108,22 @@ def render_incrementally(template: Template, turns: Turns) -> dict:
     return {"formatted": before, "spans": spans, "texts": texts, "rewrites": rewrites}
 
 
+def unused(text: str) -> str:
+    """A string that doesn't occur in ``text``."""
+    single = (chr(c) for c in PROBES)
+    numbered = (f"{chr(PROBES[0])}{k}{chr(PROBES[-1])}" for k in itertools.count())
+    return next(p for p in itertools.chain(single, numbered) if p not in text)
+
+
 def locate(template: Template, past: Turns, role: str, now: str) -> tuple[int, int] | None:
-    probe = next((chr(c) for c in PROBES if chr(c) not in now), None)
-    if probe is not None:
-        shown = template([*past, (role, probe)])
-        if shown.count(probe) == 1:
-            start = shown.index(probe)
-            end = len(now) - (len(shown) - start - 1)
-            if start <= end and now.startswith(shown[:start]) and now.endswith(shown[start + 1 :]):
-                return start, end
+    probe = unused(now)
+    shown = template([*past, (role, probe)])
+    if shown.count(probe) == 1:
+        start = shown.index(probe)
+        after = start + len(probe)
+        end = len(now) - (len(shown) - after)
+        if start <= end and now.startswith(shown[:start]) and now.endswith(shown[after:]):
+            return start, end
     return None
 
 
@@ -134,7 +147,9 @@ def format_conversations(rows: DataFrame, template: Template = default_template,
     def one(roles: list[str], texts: list[str]) -> dict:
         found = render_incrementally(template, list(zip(roles, texts, strict=True)))
         out, back = found["formatted"], read_back(found["formatted"])
-        mask = [] if found["rewrites"] else [at for (role, _), at in zip(back, found["texts"], strict=True) if role == "assistant" and at]
+        mask = [] if found["rewrites"] else [at for (role, _), at in zip(back, found["texts"], strict=True) if role == "assistant"]
+        if None in mask:
+            raise ValueError("the template changes what stands around an assistant's text: no loss mask")
         loss = "".join(undo(out[a:b]) for a, b in mask)
         return {
             "n_turns": len(back),
@@ -164,4 +179,5 @@ def op8_chat_formatting(spark, sf_dir: str) -> DataFrame:
     rows = common.read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], rows.schema)
-    return format_conversations(rows.unionByName(more), keep_text=False)
+    # Formatted apart, so that a conversation -7 of the table isn't taken for a part of this one.
+    return format_conversations(rows, keep_text=False).unionByName(format_conversations(more, keep_text=False))

@@ -105,6 +105,18 @@ def test_chat_round_trip(turns):
     assert found["spans"] == [] or found["spans"][-1][1] == len(found["formatted"])
 
 
+def test_every_private_character_in_a_text():
+    text = "".join(map(chr, chat.PROBES)) + f"{chr(chat.PROBES[0])}0{chr(chat.PROBES[-1])}"
+    found = chat.render_incrementally(chat.default_template, [("assistant", text), ("user", "x"), ("assistant", text)])
+    assert [found["formatted"][a:b] for a, b in found["texts"]] == [text, "x", text]
+
+
+def test_many_turns():
+    turns = [("assistant" if i % 2 else "user", f"turn {i} </s>" * 3) for i in range(300)]
+    found = chat.render_incrementally(chat.default_template, turns)
+    assert chat.parse(found["formatted"]) == turns and None not in found["texts"] and not found["rewrites"]
+
+
 def test_rewriting_template_is_found():
     template = lambda turns: "|".join(t for _, t in turns[-2:])
     assert chat.render_incrementally(template, [("user", "abc"), ("assistant", "d"), ("user", "e")])["rewrites"] == [2]
@@ -119,3 +131,21 @@ def test_conversations(spark):
     at = found[1].loss_mask[0]
     assert found[1].formatted[at.start : at.end] == "b" and found[1].formatted_chars == len(found[1].formatted)
     assert re.search("b", found[1].formatted)
+
+
+def test_conversation_edges(spark):
+    schema = "conv_id long, turn long, role string, text string, id string, label string"
+    rows = [(-7, 0, "user", None, "x", "y"), (-7, 1, "assistant", "".join(map(chr, chat.PROBES)), None, None)] + [(5, i, "assistant", None if i % 3 else "t", "", "") for i in range(60)]
+    found = {r.conv_id: r for r in chat.format_conversations(spark.createDataFrame(rows, schema)).collect()}
+    assert found[-7].loss_chars == len(chat.PROBES) and found[5].n_turns == 60 and found[5].loss_chars == 20
+    assert chat.format_conversations(spark.createDataFrame([], schema)).count() == 0
+    quoting = lambda turns: "|".join(f"{t}/{len(t)}" for _, t in turns)
+    back = lambda s: [("assistant", x) for x in s.split("|")]
+    with pytest.raises(Exception, match="no loss mask"):
+        chat.format_conversations(spark.createDataFrame([(1, 0, "assistant", "twelve chars")], "conv_id long, turn long, role string, text string"), quoting, back, str).collect()
+
+
+def test_query_keeps_a_conversation_of_the_same_id_apart(spark, tmp_path):
+    spark.createDataFrame([(-7, 0, "assistant", "mine")], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = chat.op8_chat_formatting(spark, str(tmp_path)).collect()
+    assert sorted((r.conv_id, r.n_turns, r.loss_chars) for r in found) == [(-7, 1, 4), (-7, 2, 21)]
