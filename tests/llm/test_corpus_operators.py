@@ -3,10 +3,12 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from pacegrid.llm import common, components, dedup, jaccard, langid, mixing, pii, quality, toxicity
 
@@ -220,6 +222,46 @@ def test_secrets_are_added_and_redacted(spark):
     assert pii.redact(table).filter("doc_id = 3").collect()[0].text == 'plain words 3 token = "<secret>" more'
 
 
+def test_overlapping_candidates(spark):
+    # Which candidates are free and which of them stay, against plain loops.
+    rng = random.Random(3)
+    scores = {k: k / 10 for k in range(1, 8)}
+    rows = []
+    for i in range(200):
+        base, found = [], []
+        for kind in pii.BASE + pii.EXTRA:
+            at = rng.randrange(30)
+            while at < 300 and rng.random() < 0.8:
+                end = at + rng.randrange(1, 40)
+                base.append((kind, at, end)) if kind in pii.BASE else found.append((kind, at, end, rng.randrange(1, 10), True))
+                at = end + rng.randrange(60)
+        rows.append((i, base, found))
+    schema = "doc_id long, base array<struct<kind:string,s:int,e:int>>, found array<struct<kind:string,s:int,e:int,cell:int,cued:boolean>>"
+    table = common.written(spark.createDataFrame(rows, schema), "overlaps")
+    out = common.written(table.select("doc_id", pii.free_of(F.col("base"), F.col("found")).alias("free")), "free")
+    for r in out.select("doc_id", "free", pii.resolved(F.col("free"), scores).alias("kept")).collect():
+        _, base, found = rows[r.doc_id]
+        free = [c for c in found if not any(b[1] < c[2] and c[1] < b[2] for b in base)]
+        assert sorted(map(tuple, r.free)) == sorted(free)
+        kept = []
+        for kind, a, b, cell, _ in sorted(free, key=lambda c: (c[1], c[2])):
+            if cell in scores:
+                if not kept or a >= kept[-1][2]:
+                    kept.append((kind, a, b, cell))
+                elif scores[cell] > scores[kept[-1][3]]:
+                    kept[-1] = (kind, a, b, cell)
+        assert [tuple(x) for x in r.kept] == [k[:3] for k in kept]
+
+
+def test_very_many_candidates_in_one_text(spark):
+    text = " ".join(f"abcdefghij{i:06d}" for i in range(100_000)) + " a@b.cc"
+    began = time.time()
+    found = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert [tuple(x) for x in found[0].base] == [("email", len(text) - 6, len(text))] and time.time() - began < 120
+    places = spark.createDataFrame([(text,)], "text string").select(pii.spans(F.col("text"), pii.SECRET, F.lit(True)).alias("x")).selectExpr("transform(x, y -> y.s) as s").collect()[0].s
+    assert places == [17 * i for i in range(100_000)]
+
+
 def test_classifiers(spark, docs, empty):
     rng = random.Random(8)
     word = lambda: "".join(rng.choices("abcdefghij", k=rng.randrange(2, 8)))
