@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -58,6 +59,13 @@ def discard(table: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let go of shuffle files of finished steps now: Spark removes them once the driver's garbage
+    collector finds their frames unused, which may be much later than the disk can bear."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def numbered(docs: DataFrame, name: str) -> DataFrame:
     """``docs`` with a number of its own for each row, ``__row``; written, so that numbers stay the
     same however often they are read. Ids may be null or repeat; these don't."""

@@ -13,12 +13,12 @@ nodes that aren't linked otherwise yet:
    a group of thousands of near copies falls together by a few pairs per node;
 2. the last round takes every remaining candidate pair of nodes in different components. First
    n-grams that at most ``RARE`` nodes share give their pairs at once. A pair that only has
-   more crowded ones has two crowded ends. Those nodes' next n-grams, ``SPARE`` as many as their
-   first ones, are counted as well, and in a second order the ones that more than ``RARE`` nodes
-   have come last: a passage of many documents is passed over, and documents that share little
-   else don't meet. Nodes that run out of rare n-grams that way have their whole sets counted,
-   and meet each other in the exact order of rarity and the other crowded nodes at their rare
-   n-grams.
+   more crowded ones has two crowded ends. For each crowded n-gram such a node takes a few of the
+   ``SPARE`` n-grams kept behind its first ones; these are counted as well, and in a second order
+   the ones that more than ``RARE`` nodes have come last: a passage of many documents is passed
+   over, and documents that share little else don't meet. Short nodes, which run out of rare
+   n-grams that way, have their whole sets counted: they meet each other in the exact order of
+   rarity, and other crowded nodes at these nodes' rare n-grams.
 
 No pair that could link two components is left out, and no group is expanded into all pairs.
 Which n-grams count as frequent or crowded only moves work, never results.
@@ -218,6 +218,7 @@ def links(pairs: DataFrame, docs: DataFrame, sets: DataFrame, frequent) -> DataF
     close = whole.filter(100 * F.col("overlap") >= PERCENT * (F.col("n") + F.col("m") - F.col("overlap")))
     close = common.written(close.select("a", "b"), "jaccard-links")
     common.discard(parts)
+    common.tidy(docs.sparkSession)
     return close
 
 
@@ -261,51 +262,60 @@ def _split(postings: DataFrame, name: str) -> DataFrame:
 
 
 def _across(split: DataFrame) -> DataFrame:
-    """Pairs (a, b, n, m) of different labels that share an n-gram, from ``_split`` with a column
-    ``crowded``; two crowded nodes give none. Nodes of an n-gram's main label don't meet each
-    other."""
-    left = split.filter("label <> main").select("gram", F.col("node").alias("x"), "n", F.col("label").alias("own"), "place", "crowded")
-    right = split.select("gram", F.col("node").alias("y"), F.col("n").alias("m"), F.col("label").alias("other"), F.col("place").alias("there"), F.col("crowded").alias("full"))
-    met = left.join(right, "gram").filter(f"own <> other and not (crowded and full) and {LIKELY}")
-    return met.select(F.col("x").alias("a"), F.col("y").alias("b"), "n", "m")
+    """Pairs (a, b, n, m) of different labels that share an n-gram, from ``_split`` with a ``level``
+    of the node: 0, 1 for settled crowded nodes, 2 for short ones. Two nodes of one level above 0
+    give none. Nodes of an n-gram's main label don't meet each other."""
+    left = split.filter("label <> main").select("gram", F.col("node").alias("a"), "n", F.col("label").alias("own"), "place", "level")
+    right = split.select("gram", F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"), F.col("place").alias("there"), F.col("level").alias("high"))
+    met = left.join(right, "gram").filter(f"own <> other and not (level > 0 and level = high) and {LIKELY}")
+    return met.select("a", "b", "n", "m")
 
 
 #: Places that a set's first n-grams take.
 FIRST = f"100 * place <= {100 - PERCENT} * n"
 
-#: N-grams of a set kept behind its first ones.
-SPARES = f"int({SPARE} * (({100 - PERCENT} * n) div 100 + 1))"
-
-
-def windows(crowded: DataFrame, signed: DataFrame) -> DataFrame:
-    """(node, at, gram): the kept n-grams of the crowded nodes with their places."""
-    rows = signed.join(common.checked_broadcast(crowded.select("node")), F.col("rid") == F.col("node"))
-    return rows.select("node", F.posexplode(F.concat("prefix", "spare")).alias("at", "gram"))
-
-
-def second_order(crowded: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of the crowded nodes (node, n, label) with their ``windows``: postings (gram, node, n, label,
-    place) in the second order of the settled nodes, all rare; (node, n, label) of the short nodes,
-    whose windows hold too few rare n-grams; and the n-grams that aren't rare. All written."""
-    counts = common.written(kept.groupBy("gram").agg(F.count("*").alias("nodes")).filter("nodes > 1"), "jaccard-counts")
-    full = F.col("nodes") > RARE
-    rows = kept.join(counts, "gram").join(crowded, "node")
-    rows = rows.withColumn("place", F.col("at") - F.count_if(full).over(Window.partitionBy("node").orderBy("at"))).withColumn("full", full)
+def second_order(split: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Postings (gram, node, n, label, place) of the settled crowded nodes in the second order, all
+    rare; (node, n, label, taken, level) of all crowded nodes, with the number of kept n-grams that
+    each takes; and the n-grams that aren't rare. All written."""
+    crowded = split.groupBy("node", "n", "label").agg(F.count_if(F.col("nodes") > RARE).alias("full")).filter("full > 0")
+    crowded = common.written(crowded, "jaccard-crowded")
+    ends = common.checked_broadcast(crowded.select("node", "n", "label", "full"))
+    taken = F.slice("spare", F.lit(1), F.least(F.size("spare"), (2 * F.col("full") + 4).cast("int")))
+    spares = signed.join(ends, F.col("rid") == F.col("node")).select("node", "n", "label", F.size("prefix").alias("first"), taken.alias("taken"))
+    sizes = spares.select("node", F.size("taken").alias("taken"))
+    spares = spares.select("node", "n", "label", "first", F.posexplode("taken").alias("place", "gram"))
+    mine = split.join(common.checked_broadcast(crowded.select("node")), "node", "left_semi")
+    rows = mine.select("gram", "node", "n", "label", F.col("place").alias("at"), F.col("nodes").alias("firsts"), F.lit(0).alias("more"))
+    rows = rows.unionByName(spares.select("gram", "node", "n", "label", (F.col("first") + F.col("place")).alias("at"), F.lit(0).cast("long").alias("firsts"), F.lit(1).alias("more")))
+    counts = rows.groupBy("gram").agg(F.count("*").alias("rows"), (F.max("firsts") + F.sum("more")).alias("nodes")).filter("rows > 1")
+    counts = common.written(counts.select("gram", F.col("nodes").alias("held")), "jaccard-counts")
+    full = F.col("held") > RARE
+    rows = rows.join(counts, "gram").withColumn("full", full).withColumn("place", F.col("at") - F.count_if(full).over(Window.partitionBy("node").orderBy("at")))
     rows = common.written(rows.select("gram", "node", "n", "label", "place", "full"), "jaccard-windows")
-    short = rows.groupBy("node", "n", "label").agg(F.count_if("full").alias("passed")).filter(F.col("passed") > F.expr(SPARES))
-    short = common.written(short.select("node", "n", "label"), "jaccard-short")
-    settled = rows.filter(f"not full and {FIRST}").join(common.checked_broadcast(short.select("node")), "node", "left_anti")
-    return settled.select("gram", "node", "n", "label", "place"), short, counts.filter(full).select("gram")
-
-
-def rare_meetings(crowded: DataFrame, kept: DataFrame, short: DataFrame, grams: DataFrame, full: DataFrame) -> DataFrame:
-    """Pairs (a, b, n, m) of a settled and a short node of different labels that share a rare n-gram
-    of the former's window: at most ``RARE`` windows hold it."""
-    far = grams.distinct().join(full, "gram", "left_anti").join(short.select("node", F.col("n").alias("m"), F.col("label").alias("other"), F.lit(0).alias("there")), "node")
-    near = kept.join(crowded.join(short.select("node"), "node", "left_anti"), "node")
-    # Not all n-grams passed over stand before this one.
-    near = near.withColumn("place", F.expr(f"greatest(0, at - {SPARES})"))
-    met = near.withColumnRenamed("node", "a").join(far.withColumnRenamed("node", "b"), "gram").filter(f"label <> other and {FIRST} and {LIKELY}")
+    passed = rows.groupBy("node").agg(F.count_if("full").alias("passed"))
+    levels = crowded.join(sizes, "node").join(passed, "node", "left")
+    level = F.when(F.coalesce("passed", F.lit(0)) > F.col("taken"), 2).otherwise(1)
+    levels = common.written(levels.select("node", "n", "label", "taken", level.alias("level")), "jaccard-levels")
+    short = common.checked_broadcast(levels.filter("level = 2").select("node"))
+    settled = rows.filter(f"not full and {FIRST}").join(short, "node", "left_anti")
+    return settled.select("gram", "node", "n", "label", "place"), levels, counts.filter(full).select("gram")
+
+
+def rare_meetings(split: DataFrame, signed: DataFrame, levels: DataFrame, grams: DataFrame, full: DataFrame) -> DataFrame:
+    """Pairs (a, b, n, m) of a settled and a short node of different labels that share a crowded
+    first n-gram, and a rare one among the former's first ones in the second order."""
+    short = levels.filter("level = 2").select("node", F.col("n").alias("m"), F.col("label").alias("other"), F.lit(0).alias("there"))
+    crowds = split.filter(F.col("nodes") > RARE).select("gram", "node")
+    both = crowds.join(common.checked_broadcast(short.select("node")), "node", "left_semi").select("gram").distinct()
+    meeting = crowds.join(both, "gram", "left_semi").select("node").distinct()
+    settled = common.written(levels.filter("level = 1").join(meeting, "node", "left_semi"), "jaccard-meeting")
+    near = signed.join(common.checked_broadcast(settled), F.col("rid") == F.col("node"))
+    near = near.select("node", "n", "label", "taken", F.posexplode(F.concat("prefix", F.slice("spare", F.lit(1), F.col("taken")))).alias("at", "gram"))
+    # Some n-grams passed over may stand behind this one.
+    near = near.withColumn("place", F.greatest(F.lit(0), F.col("at") - F.col("taken"))).filter(FIRST)
+    far = grams.distinct().join(full, "gram", "left_anti").join(short, "node")
+    met = near.withColumnRenamed("node", "a").join(far.withColumnRenamed("node", "b"), "gram").filter(f"label <> other and {LIKELY}")
     return met.select("a", "b", "n", "m")
 
 
@@ -325,25 +335,24 @@ def open_pairs(labelled: DataFrame, docs: DataFrame, signed: DataFrame, sets: Da
     share a first n-gram of ``RARE`` nodes at most, and pairs of two crowded nodes by the second
     order. A pair with an end that isn't crowded has a first n-gram of the former kind."""
     split = _split(labelled, "jaccard-open")
-    crowded = common.written(split.filter(F.col("nodes") > RARE).select("node", "n", "label").distinct(), "jaccard-crowded")
-    marks = common.checked_broadcast(crowded.select("node", F.lit(True).alias("crowded")))
-    few = split.filter(F.col("nodes") <= RARE).join(marks, "node", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
-    pairs, parts = _across(few), None
-    alike = lambda rows, name: _across(_split(rows, name).withColumn("crowded", F.lit(False)))
-    if not crowded.isEmpty():
-        kept = windows(crowded, signed)
-        settled, short, full = second_order(crowded, kept)
-        pairs = pairs.unionByName(alike(settled, "jaccard-second"))
-        if not short.isEmpty():
-            parts = segments(docs, sets, short.select("node"), frequent, range(FRAGMENTS))
-            grams = parts.select("node", F.explode("grams").alias("gram"))
-            pairs = pairs.unionByName(alike(exact_order(short, grams), "jaccard-third"))
-            pairs = pairs.unionByName(rare_meetings(crowded, kept, short, grams, full))
+    settled, levels, full = second_order(split, signed)
+    marks = common.checked_broadcast(levels.select("node", "level"))
+    marked = split.filter(F.col("nodes") <= RARE).join(marks, "node", "left").withColumn("level", F.coalesce("level", F.lit(0)))
+    alike = lambda rows, name: _across(_split(rows, name).withColumn("level", F.lit(0)))
+    pairs = _across(marked).unionByName(alike(settled, "jaccard-second"))
+    short = levels.filter("level = 2").select("node", "n", "label")
+    parts = None
+    if not short.isEmpty():
+        parts = segments(docs, sets, short.select("node"), frequent, range(FRAGMENTS))
+        grams = parts.select("node", F.explode("grams").alias("gram"))
+        pairs = pairs.unionByName(alike(exact_order(short, grams), "jaccard-third"))
+        pairs = pairs.unionByName(rare_meetings(split, signed, levels, grams, full))
     sized = lambda yes, no: F.when(F.col("a") < F.col("b"), F.col(yes)).otherwise(F.col(no))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), sized("n", "m").alias("n"), sized("m", "n").alias("m"))
     pairs = common.written(pairs.distinct(), "jaccard-candidates")
     if parts is not None:
         common.discard(parts)
+    common.discard(split)
     return pairs
 
 
@@ -367,11 +376,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 break
             found.append(new)
             labels = components(_union(found))
+        common.tidy(docs.sparkSession)
         pairs = open_pairs(_labelled(postings, labels), rows, signed, sets, frequent)
         for old in tested:
             known = old.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
             pairs = pairs.join(known, ["a", "b"], "left_anti")
         pairs = common.written(pairs, "jaccard-pairs")
+        common.tidy(docs.sparkSession)
         if not pairs.isEmpty():
             new = links(pairs, rows, sets, frequent)
             if not new.isEmpty():
