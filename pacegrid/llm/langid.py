@@ -5,9 +5,11 @@ is the sum over all its segmentations into pieces, which a forward algorithm com
 is the product over its words. The piece probabilities are learnt by expectation maximisation
 over word counts: expected piece counts come from forward and backward sums.
 
-Words are runs of letters of the lower-cased text with a blank before them, pieces those of
-the vocabulary that have a blank at most at their start and no capital; single bytes are
-always pieces, so every word has a segmentation.
+Words are runs of Unicode letters and marks of the lower-cased text with a blank before them, of
+any length: a passage of a script without blanks is one word between two marks of punctuation.
+Pieces are those of the vocabulary that can occur in such a word, that is with a blank at most
+at their start and no other ASCII byte than a-z; single bytes are always pieces, so every word
+has a segmentation. Work is linear in a word's bytes.
 
 Defined results: a text that is null or has no letter gets ``und`` and score 0; so does every
 text where no language could be learnt; ties go to the first language by code point; repeated
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import unicodedata
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -37,6 +40,10 @@ ROUNDS, SMOOTH = 3, 1e-7
 SLOTS = 1 << 20
 #: Bytes of text whose distinct words are scored together.
 PREDICT_BYTES = 1 << 22
+#: Bytes from which on a word is worked on by itself, by its pieces' places.
+LONG_WORD = 200
+#: Most languages of a fit: their table is broadcast and kept by the driver. More are an error.
+MOST_LANGUAGES = 1000
 FOLDS, HELD_OUT = 5, 0
 
 
@@ -61,7 +68,8 @@ def _hash(columns: np.ndarray) -> np.ndarray:
 def pieces(path: str) -> Pieces:
     with open(path, "rb") as f:
         names = {base64.b64decode(line.split()[0]) for line in f} | {bytes([b]) for b in range(256)}
-    names = sorted(n for n in names if b" " not in n[1:] and not any(65 <= b <= 90 for b in n))
+    inside = lambda b: b > 127 or 97 <= b <= 122
+    names = sorted(n for n in names if len(n) == 1 or all(map(inside, n[1:])) and (inside(n[0]) or n[0] == 32))
     hashes = np.concatenate([_hash(np.frombuffer(n, np.uint8)[None, :]) for n in names])
     order = np.argsort(hashes, kind="stable")
     hashes = hashes[order]
@@ -110,6 +118,43 @@ def forward(table: np.ndarray, found: Iterable[np.ndarray], count: int, longest:
     return logs + np.log(np.maximum(alphas[-1], 1e-300))
 
 
+def placed_pieces(known: Pieces, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, pieces, cuts) of all pieces in one word's bytes by their ends: those that end at j
+    stand in cuts[j] to cuts[j + 1]."""
+    found, h, bytes_ = [], np.zeros(len(word), np.uint64), word.astype(np.uint64) + np.uint64(1)
+    for size in range(1, min(known.longest, len(word)) + 1):
+        h = (h[: len(word) - size + 1] + bytes_[size - 1 :]) * np.uint64(P)
+        ids = lookup(known, mix(h + np.uint64(size)))
+        at = np.flatnonzero(ids >= 0)
+        found.append(np.stack([at + size, at, ids[at]]))
+    ends, starts, ids = np.concatenate(found, axis=1)
+    order = np.argsort(ends, kind="stable")
+    return starts[order], ids[order], np.searchsorted(ends[order], np.arange(len(word) + 2))
+
+
+def long_forward(logs_of: np.ndarray, starts: np.ndarray, ids: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """(bytes + 1, languages) logarithms of the sums over all segmentations up to each place."""
+    sums = np.zeros((len(cuts) - 1, logs_of.shape[1]))
+    for j in range(1, len(sums)):
+        terms = sums[starts[cuts[j] : cuts[j + 1]]] + logs_of[ids[cuts[j] : cuts[j + 1]]]
+        top = terms.max(axis=0)
+        sums[j] = top + np.log(np.exp(terms - top).sum(axis=0))
+    return sums
+
+
+def long_counts(known: Pieces, logs_of: np.ndarray, word: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pieces, expected counts) of one word, a row for each place of a piece."""
+    starts, ids, cuts = placed_pieces(known, word)
+    sums = long_forward(logs_of, starts, ids, cuts)
+    passes, shares = np.zeros_like(sums), np.zeros((len(ids), sums.shape[1]))
+    passes[-1] = weights
+    for j in range(len(sums) - 1, 0, -1):
+        mine = slice(cuts[j], cuts[j + 1])
+        shares[mine] = np.exp(sums[starts[mine]] + logs_of[ids[mine]] - sums[j]) * passes[j]
+        passes[starts[mine]] += shares[mine]
+    return ids, shares
+
+
 def by_length(lengths: np.ndarray):
     order = np.argsort(lengths, kind="stable")
     cuts = np.flatnonzero(np.diff(lengths[order])) + 1
@@ -120,7 +165,12 @@ def by_length(lengths: np.ndarray):
 
 def log_sums(known: Pieces, table: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     out = np.zeros((len(start), table.shape[1]))
+    logs_of = np.log(np.maximum(table, 1e-300))
     for length, group in by_length(end - start):
+        if length > LONG_WORD:
+            for i in group:
+                out[i] = long_forward(logs_of, *placed_pieces(known, spaced(data, start[i : i + 1], length)[0]))[-1]
+            continue
         step = max(1, 400_000 // (length + 1))
         for k in range(0, len(group), step):
             rows = group[k : k + step]
@@ -135,26 +185,26 @@ def spaced(data: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
     return words
 
 
-LETTERS = np.zeros(256, bool)
-LETTERS[128:] = True
-LETTERS[ord("a") : ord("z") + 1] = True
+@functools.lru_cache(maxsize=1)
+def letters() -> np.ndarray:
+    """Whether a code point is a letter or a mark, which stands with a letter."""
+    return np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)])
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, text) of runs of letters; bytes above 127 count as letters."""
-    inside = LETTERS[data]
-    before, after = np.ones(len(data), bool), np.ones(len(data), bool)
+def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bool]]:
+    """(bytes, start, end, text) of the words of the lower-cased texts, and whether a text has a
+    letter."""
+    texts = [(t or "").lower() for t in column.to_pylist()]
+    data, offsets = common.text_buffer(pa.array(texts, pa.string()))
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    at = np.concatenate([[0], np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF))])
+    inside = letters()[points]
+    before, after = np.ones(len(points), bool), np.ones(len(points), bool)
     before[1:], after[:-1] = ~inside[:-1], ~inside[1:]
-    cut = offsets[(offsets > 0) & (offsets < len(data))]
+    cut = np.searchsorted(at, offsets[(offsets > 0) & (offsets < len(data))])
     before[cut], after[cut - 1] = True, True
-    start = np.flatnonzero(inside & before)
-    return start, np.flatnonzero(inside & after) + 1, np.searchsorted(offsets, start, side="right") - 1
-
-
-def lowered(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bool]]:
-    texts = [(t or "").lower() for t in column.to_pylist()]
-    has = [any(map(str.isalpha, t)) for t in texts]
-    return *common.text_buffer(pa.array(texts, pa.string())), has
+    start, end = at[:-1][inside & before], at[1:][inside & after]
+    return data, start, end, np.searchsorted(offsets, start, side="right") - 1, [any(map(str.isalpha, t)) for t in texts]
 
 
 def unique_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,8 +235,18 @@ class Model:
 def expected_counts(known: Pieces, table: np.ndarray, words: list[bytes], weights: np.ndarray) -> np.ndarray:
     """(pieces, languages) expected piece counts of words with (words, languages) counts."""
     out = np.zeros((len(known.names) + 1, table.shape[1]))
+    logs_of = np.log(np.maximum(table, 1e-300))
+
+    def add(ids: np.ndarray, shares: np.ndarray) -> None:
+        for k in range(out.shape[1]):
+            out[:, k] += np.bincount(np.where(ids < 0, len(out) - 1, ids), shares[:, k], minlength=len(out))
+
     lengths = np.array([len(w) for w in words])
     for length, group in by_length(lengths):
+        if length > LONG_WORD:
+            for i in group:
+                add(*long_counts(known, logs_of, np.frombuffer(b" " + words[i], np.uint8), weights[i]))
+            continue
         for k in range(0, len(group), max(1, 50_000 // (length + 1))):
             rows = group[k : k + max(1, 50_000 // (length + 1))]
             flat = np.frombuffer(b"".join(words[i] for i in rows), np.uint8)
@@ -198,7 +258,7 @@ def expected_counts(known: Pieces, table: np.ndarray, words: list[bytes], weight
                 near = sum(np.exp(logs[-s] - logs[-1]) * table[ids] for s, ids in enumerate(ends, 1) if s == 1 or ids.max() >= 0)
                 logs.append(logs[-1] + np.log(np.maximum(near, 1e-300)))
             # Expected times that a segmentation has a boundary at each place.
-            cuts = [np.zeros((len(rows), table.shape[1])) for _ in logs]
+            cuts, places, shares = [np.zeros((len(rows), table.shape[1])) for _ in logs], [], []
             cuts[-1][:] = weights[rows]
             for j in range(len(found), 0, -1):
                 for s, ids in enumerate(found[j - 1], 1):
@@ -206,7 +266,8 @@ def expected_counts(known: Pieces, table: np.ndarray, words: list[bytes], weight
                         continue
                     share = np.exp(logs[j - s] - logs[j]) * table[ids] * cuts[j]
                     cuts[j - s] += share
-                    np.add.at(out, ids, share)
+                    places.append(ids), shares.append(share)
+            add(np.concatenate(places), np.concatenate(shares))
     return out[:-1]
 
 
@@ -217,8 +278,10 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, path: str | No
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (common.crc32_bucket("id", FOLDS) != HELD_OUT))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
     languages = sorted(counts)
+    if len(languages) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not languages:
         return None
     share = F.create_map(*(x for lang in languages for x in (F.lit(lang), F.lit(min(1.0, per_language / counts[lang])))))
@@ -226,8 +289,7 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, path: str | No
 
     def count(batches):
         for batch in common.text_slices(batches, "text"):
-            data, offsets, _ = lowered(batch.column(1))
-            start, end, doc = words_of(data, offsets)
+            data, start, end, doc, _ = words_of(batch.column(1))
             first, number = unique_words(data, start, end)
             lang = np.array([languages.index(x) for x in batch.column(2).to_pylist()])
             pairs, n = np.unique(number * len(languages) + lang[doc], return_counts=True)
@@ -237,7 +299,7 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, path: str | No
 
     counted = sample.mapInArrow(count, "word binary, lang int, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
     lists = counted.groupBy("word").agg(F.collect_list(F.struct("lang", F.col("n").cast("double").alias("n"))).alias("by_lang"))
-    lists = common.written(lists.repartition(2 * spark.sparkContext.defaultParallelism), "langid-words")
+    lists = common.written(lists, "langid-words").repartition(4 * spark.sparkContext.defaultParallelism)
 
     known = pieces(path)
     table = np.ones((len(known.names) + 1, len(languages))) / len(known.names)
@@ -277,8 +339,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
             n = batch.num_rows
             names, scores = ["und"] * n, np.zeros(n)
             if model is not None:
-                data, offsets, has = lowered(batch.column(1))
-                start, end, doc = words_of(data, offsets)
+                data, start, end, doc, has = words_of(batch.column(1))
                 first, number = unique_words(data, start, end)
                 logs = log_sums(pieces(model.path), model.table, data, start[first], end[first])
                 total = np.stack([np.bincount(doc, logs[number, k], minlength=n) for k in range(len(model.languages))], axis=1)

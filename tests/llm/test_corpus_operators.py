@@ -176,6 +176,40 @@ def test_long_pieces_and_long_words_count():
     assert sizes @ counts[:, 1] == pytest.approx(8001)
 
 
+def test_long_words_take_the_same_sums(monkeypatch):
+    known = langid.pieces(langid.public_tokenizers.path(langid.VOCABULARY))
+    table = np.random.default_rng(2).random((len(known.names) + 1, 3)) / 1000
+    table[-1] = 0
+    words = ["thethingandthatotherhouse" * 3, "\u4e2d\u6587\u6ca1\u6709\u7a7a\u683c" * 9, "stra\u00dfe"]
+    raw = [w.encode() for w in words]
+    data, ends = np.frombuffer(b" ".join(raw), np.uint8), np.cumsum([len(w) + 1 for w in raw]) - 1
+    starts, weights = ends - [len(w) for w in raw], np.array([[1.0, 2, 0], [0, 1, 1], [3, 0, 1]])
+    short = langid.log_sums(known, table, data, starts, ends), langid.expected_counts(known, table, raw, weights)
+    monkeypatch.setattr(langid, "LONG_WORD", 0)
+    long = langid.log_sums(known, table, data, starts, ends), langid.expected_counts(known, table, raw, weights)
+    np.testing.assert_allclose(short[0], long[0])
+    np.testing.assert_allclose(short[1], long[1], atol=1e-9)
+
+
+def test_words_end_at_other_than_letters():
+    texts = ["Se\u00f1or\u2014\u00a0ABC,d1e", None, "\u4e2d\u6587\u3002\u0e01\u0e34\u0e19", "12 !", "a"]
+    data, start, end, doc, has = langid.words_of(pa.array(texts))
+    found = [(int(d), data[a:b].tobytes().decode()) for a, b, d in zip(start, end, doc, strict=True)]
+    assert found == [(0, "se\u00f1or"), (0, "abc"), (0, "d"), (0, "e"), (2, "\u4e2d\u6587"), (2, "\u0e01\u0e34\u0e19"), (4, "a")]
+    assert has == [True, False, True, False, True]
+
+
+def test_one_megabyte_without_blanks(spark):
+    rng = random.Random(1)
+    han = lambda n: "".join(chr(rng.randrange(0x4E00, 0x5200)) for _ in range(n))
+    kana = lambda n: "".join(chr(rng.randrange(0x3041, 0x3090)) for _ in range(n))
+    rows = [(i, (han if i % 2 else kana)(300), "zh" if i % 2 else "ja") for i in range(40)] + [(99, han(350_000), None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    began = time.time()
+    found = {r.doc_id: r.lang_pred for r in langid.predict(table, langid.fit(table)).collect()}
+    assert time.time() - began < 180 and found[99] == "zh" and all(found[i] == ("zh" if i % 2 else "ja") for i in range(40))
+
+
 def test_language_learns_and_handles_edges(spark, docs, empty):
     en, fr = "the thing with that other house and of them", "la maison avec une autre chose pour les gens"
     rng = random.Random(2)
