@@ -10,8 +10,8 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: Rows up to which a join side with narrow rows (about 100 bytes) may be broadcast.
-BROADCAST_ROWS = 200_000
+#: Bytes up to which a join side may be broadcast.
+BROADCAST_BYTES = 32_000_000
 
 #: Bytes of text that one step of a Python kernel works on.
 CHUNK_BYTES = 1_000_000
@@ -30,12 +30,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset (local runs, tests) a temporary folder is made and remembered.
+    Only where that is unset on a local master (tests) a temporary folder is made and remembered;
+    on a cluster that is an error, for executors don't see the driver's folders.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.conf.get("spark.pacegrid.scratch", None)
         if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             root = tempfile.mkdtemp(prefix="pacegrid-")
             spark.conf.set("spark.pacegrid.scratch", root)
     return root.rstrip("/")
@@ -66,16 +69,45 @@ def tidy(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def numbered(docs: DataFrame, name: str) -> DataFrame:
-    """``docs`` with a number of its own for each row, ``__row``; written, so that numbers stay the
-    same however often they are read. Ids may be null or repeat; these don't."""
-    return written(docs.withColumn("__row", F.monotonically_increasing_id()), name)
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` hasn't."""
+    taken = {c.lower() for c in df.columns}
+    while stem in taken:
+        stem += "_"
+    return stem
 
 
-def checked_broadcast(side: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``side`` with a broadcast hint if its counted rows stay within ``limit``; else as it is,
+def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``docs`` with a number of its own for each row, and that column's name; written, so that
+    numbers stay the same however often they are read. Ids may be null or repeat; these don't."""
+    row = fresh(docs, "__row")
+    return written(docs.withColumn(row, F.monotonically_increasing_id()), name), row
+
+
+def checked_broadcast(side: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``side`` with a broadcast hint if its counted bytes stay within ``limit``; else as it is,
     and Spark shuffles both sides. ``side`` must be cheap to count (a written table)."""
-    return F.broadcast(side) if side.count() <= limit else side
+    fixed = {"boolean": 1, "byte": 1, "short": 2, "int": 4, "integer": 4, "float": 4, "date": 4}
+    open_ended = [f.name for f in side.schema.fields if f.dataType.typeName() in ("string", "binary")]
+    width = 16 + sum(fixed.get(f.dataType.typeName(), 8) for f in side.schema.fields)
+    longer = [F.coalesce(F.sum(F.octet_length(F.col(f"`{c}`"))), F.lit(0)) for c in open_ended]
+    counted = side.agg(F.count("*"), *(x.alias(f"b{i}") for i, x in enumerate(longer))).first()
+    return F.broadcast(side) if counted[0] * width + sum(counted[1:]) <= limit else side
+
+
+#: Rows of one key from which on it isn't left to a shuffle.
+HEAVY = 500
+
+
+def join_by_weight(rows: DataFrame, side: DataFrame, by: list[str], weight: str, how: str) -> DataFrame:
+    """``rows`` joined with a written ``side`` of unique keys, "inner" or "left". ``weight`` says how
+    many rows a key has: those of heavy keys, of which there are few, stay where they are, and only
+    the others are shuffled."""
+    columns = [c for c in side.columns if c not in by]
+    heavy = checked_broadcast(side.filter(F.col(weight) >= HEAVY))
+    there = rows.join(heavy, by, "inner").select(*rows.columns, *columns)
+    rest = rows.join(heavy.select(*by), by, "left_anti").join(side.filter(F.col(weight) < HEAVY), by, how)
+    return there.unionByName(rest.select(*rows.columns, *columns))
 
 
 def crc32_bucket(id_col: str, n: int):

@@ -1,8 +1,10 @@
 """Exact de-duplication by progressive refinement: length, then prefix hash, then full hash.
 
 Texts are equal when identical after each run of white space became one space. Per row the
-scan keeps a key of about a hundred bytes; texts are never shuffled. Only rows whose length,
-and then prefix hash, occurs again go on to the grouping by full hash.
+scan keeps a key of about a hundred bytes; texts are never shuffled. Lengths and prefix hashes
+are counted together, combined in the scan's tasks; only rows whose pair occurs again go on to
+the grouping by full hash. That hash is taken in the same scan, since a second one would read
+the texts again or shuffle them.
 
 Defined results: a null text counts as empty; of equal texts the row with the smallest id
 stays, null ids last; of rows that repeat id and text exactly one stays; other columns are
@@ -23,11 +25,13 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One written row per document: rid (row number, unique), doc_id, size, prefix, text_sha256."""
-    norm = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm"))
+def keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """One written row per document: rid (row number, unique; that of ``row_col`` if given), doc_id,
+    size, prefix, text_sha256."""
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    norm = docs.select(row.alias("rid"), F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm"))
     keyed = norm.select(
-        F.monotonically_increasing_id().alias("rid"),
+        "rid",
         "doc_id",
         F.length("norm").alias("size"),
         F.xxhash64(F.substring("norm", 1, PREFIX_CHARS)).alias("prefix"),
@@ -37,18 +41,19 @@ def keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def groups(keyed: DataFrame) -> DataFrame:
-    """(text_sha256, group_size, keep_rid, keep_id) of every text that occurs more than once."""
-    again = lambda rows, by: rows.join(rows.groupBy(*by).count().filter("count > 1").select(*by), by, "left_semi")
-    rows = again(again(keyed, ["size"]), ["size", "prefix"])
+    """(text_sha256, group_size, keep_rid, keep_id) of every text that occurs more than once,
+    written."""
+    again = keyed.groupBy("size", "prefix").agg(F.count("*").alias("__rows")).filter(F.col("__rows") > 1)
+    rows = common.join_by_weight(keyed, common.written(again, "dedup-again"), ["size", "prefix"], "__rows", "inner")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid"))
     found = rows.groupBy("text_sha256").agg(F.count("*").alias("group_size"), first.alias("first")).filter("group_size > 1")
-    return found.select("text_sha256", "group_size", F.col("first.rid").alias("keep_rid"), F.col("first.doc_id").alias("keep_id"))
+    return common.written(found.select("text_sha256", "group_size", F.col("first.rid").alias("keep_rid"), F.col("first.doc_id").alias("keep_id")), "dedup-groups")
 
 
 def exact_groups(keyed: DataFrame) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, rid. Rows that are
-    alone never meet another row; the join is one that Spark splits where a group is hot."""
-    joined = keyed.join(groups(keyed), "text_sha256", "left")
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, rid. Rows of large
+    groups aren't brought together."""
+    joined = common.join_by_weight(keyed, groups(keyed), ["text_sha256"], "group_size", "left")
     alone = F.col("keep_rid").isNull()
     return joined.select(
         "doc_id",
@@ -63,21 +68,13 @@ def exact_groups(keyed: DataFrame) -> DataFrame:
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    Rows are told apart by id and full hash; only if a kept pair of these occurs more than once
-    does a further step drop its repeats. Ids of dropped rows are broadcast up to
-    ``common.BROADCAST_ROWS`` and joined by shuffle beyond.
+    Rows are told apart by number, so null and repeated ids take no part. The numbers of dropped
+    rows are broadcast where their bytes allow; beyond, that join shuffles the rows once.
     """
-    result = common.written(exact_groups(keys(docs, id_col, text_col)), "dedup-result")
-    kept = result.filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
-    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_sha256") == F.col("kept_sha"))
-    repeats = result.filter("not kept").join(kept, same, "left_semi")
-    gone = result.filter("not kept").join(kept, same, "left_anti").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
+    rows, row = common.numbered(docs, "dedup-rows")
+    gone = exact_groups(keys(rows, id_col, text_col, row)).filter("not kept").select(F.col("rid").alias(row))
     gone = common.checked_broadcast(common.written(gone, "dedup-gone"))
-    own = docs.withColumn("__own", F.sha2(normalised(F.col(text_col)).cast("binary"), 256))
-    out = own.join(gone, own[id_col].eqNullSafe(gone["__id"]) & (own["__own"] == gone["__sha"]), "left_anti")
-    if not repeats.isEmpty():
-        out = out.dropDuplicates([id_col, "__own"])
-    return out.drop("__own")
+    return rows.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def op10_exact_dedup(spark, sf_dir: str) -> DataFrame:

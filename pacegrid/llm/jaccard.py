@@ -409,15 +409,15 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The rows of ``docs`` that stay, with all their columns: of each component the row of the
     smallest id, null ids last, and one row where that id repeats. Rows are told apart by number,
     so rows that only share an id, or have none, don't decide on each other."""
-    rows = common.numbered(docs, "jaccard-rows")
-    found = common.written(near_duplicates(rows, "__row", text_col), "jaccard-found")
+    rows, row = common.numbered(docs, "jaccard-rows")
+    found = common.written(near_duplicates(rows, row, text_col), "jaccard-found")
     shared = found.groupBy("component_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("component_id")
-    named = found.join(shared, "component_id").join(rows.select("__row", F.col(id_col).alias("id")), "__row")
-    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "__row")).alias("first")
-    named = common.written(named.select("component_id", "__row", "id"), "jaccard-members")
-    kept = named.groupBy("component_id").agg(first).select(F.col("first.__row").alias("__row"))
-    gone = common.written(named.select("__row").join(kept, "__row", "left_anti"), "jaccard-gone")
-    return rows.join(common.checked_broadcast(gone), "__row", "left_anti").select(*docs.columns)
+    named = found.join(shared, "component_id").join(rows.select(row, F.col(id_col).alias("id")), row).select("component_id", F.col(row).alias("number"), "id")
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "number")).alias("first")
+    named = common.written(named, "jaccard-members")
+    kept = named.groupBy("component_id").agg(first).select(F.col("first.number").alias("number"))
+    gone = common.written(named.select("number").join(kept, "number", "left_anti").withColumnRenamed("number", row), "jaccard-gone")
+    return rows.join(common.checked_broadcast(gone), row, "left_anti").select(*docs.columns)
 
 
 def op6_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

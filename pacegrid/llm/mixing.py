@@ -8,7 +8,8 @@ most twice, and the words taken follow the target over all sizes.
 
 The prefix sum is taken in two steps, so that a source of any size is spread over many tasks:
 ranks within blocks of one source, size class and md5 range (about ``BLOCK_ROWS`` rows), and
-offsets from the summed counts of blocks. Only block counts and source totals meet in windows.
+offsets from the summed counts of blocks. Rows without an id, which all have one md5, are blocks
+of their own by size and row number. Only block counts and source totals meet in windows.
 
 Defined results: a null text has size 0; sources are ordered by code point, null last; a
 source of size 0 has target 0 and no copies; rows that are equal in all that the order uses
@@ -25,7 +26,7 @@ from pacegrid.llm import common
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
 
 #: Rows that one block of a size class aims at.
-BLOCK_ROWS = 50_000
+BLOCK_ROWS = 5_000
 
 
 def size_of(text):
@@ -38,7 +39,7 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, mo
     Targets share ``share`` of all sizes by weight, none above ``most`` times its source's size;
     the excess is reshared by weight: sources in the order of size over weight are capped as
     long as the level that is left for the rest is above theirs. One row per source meets in
-    one window here; documents never do.
+    one window and task here, which is meant for up to some millions of sources; documents never do.
     """
     order = Window.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int"))
@@ -69,7 +70,7 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     )
     bits = F.length(F.bin("size"))
     sized = sized.withColumn("class", (bits * 8 + F.expr("shiftright(size, greatest(length(bin(size)) - 3, 0))")).cast("long"))
-    sized = common.written(sized.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))), "mix-sizes")
+    sized = common.written(sized.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))).withColumn("tie", F.monotonically_increasing_id()), "mix-sizes")
 
     classes = sized.groupBy("source", "class").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
     classes = common.written(classes, "mix-classes")
@@ -80,14 +81,22 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     placed = sized.join(cut, sized.source.eqNullSafe(cut.c_source) & (sized["class"] == cut.c_class)).drop("c_source", "c_class")
     placed = placed.withColumn("block", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.col("cuts") / F.lit(1 << 32)))
 
-    blocks = placed.groupBy("source", "class", "block").agg(F.count("*").alias("n"))
-    ahead = Window.partitionBy("source").orderBy("class", "block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select(
-        F.col("source").alias("b_source"), F.col("class").alias("b_class"), F.col("block").alias("b_block"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead")
-    )
-    within = Window.partitionBy("source", "class", "block").orderBy("key", F.col("doc_id").asc_nulls_last(), "size")
+    # Around the md5 that rows without an id share, a block falls into what stands before it, those
+    # rows by size and number, and what stands after it.
+    unnamed = F.md5(F.lit("").cast("binary"))
+    side = F.when(F.col("key") < unnamed, 0).when((F.col("key") == unnamed) & F.col("doc_id").isNull(), 2).when(F.col("key") == unnamed, 1).otherwise(3)
+    placed = placed.withColumns({"side": side, "of_size": F.when(side == 2, F.col("size")).otherwise(0), "deal": F.when(side == 2, F.pmod(F.xxhash64("tie"), F.col("cuts"))).otherwise(0)})
+    by = ["source", "class", "block", "side", "of_size", "deal"]
+    blocks = placed.groupBy(*by).agg(F.count("*").alias("n"))
+    ahead = Window.partitionBy("source").orderBy(*by[1:]).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(*(F.col(c).alias(f"b_{c}") for c in by), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
+    blocks = common.checked_broadcast(common.written(blocks, "mix-blocks"))
+    within = Window.partitionBy(*by).orderBy("key", F.col("doc_id").asc_nulls_last(), "size")
     ranked = placed.withColumn("rank", F.row_number().over(within))
-    ranked = ranked.join(common.checked_broadcast(common.written(blocks, "mix-blocks")), F.col("source").eqNullSafe(F.col("b_source")) & (F.col("class") == F.col("b_class")) & (F.col("block") == F.col("b_block")))
+    same = F.col("source").eqNullSafe(F.col("b_source"))
+    for c in by[1:]:
+        same = same & (F.col(c) == F.col(f"b_{c}"))
+    ranked = ranked.join(blocks, same)
     s = sources.withColumnRenamed("source", "s_source")
     full = ranked.join(s, F.col("source").eqNullSafe(F.col("s_source")))
     rank = F.col("ahead") + F.col("rank")
@@ -101,11 +110,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     Copies are carried by row, so null and repeated ids take no part in it.
     """
-    rows = common.numbered(docs, "mix-rows")
-    taken = copies(rows, id_col, text_col, source_col, ("__row",)).filter("copies > 0").select("__row", F.col("copies").alias("__copies"))
+    rows, row = common.numbered(docs, "mix-rows")
+    times = common.fresh(rows, "__times")
+    taken = copies(rows, id_col, text_col, source_col, (row,)).filter("copies > 0").select(row, F.col("copies").alias(times))
     taken = common.checked_broadcast(common.written(taken, "mix-copies"))
-    joined = rows.join(taken, "__row")
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
+    joined = rows.join(taken, row)
+    return joined.withColumn(common.fresh(joined, "__copy"), F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*docs.columns)
 
 
 def op9_source_mixing(spark, sf_dir: str) -> DataFrame:

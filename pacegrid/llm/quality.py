@@ -40,8 +40,9 @@ class Model:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict[int, int]]:
-    """(text, label) of at most ``per_class`` labelled rows of each class outside the held-out
-    fold, and all labelled rows' counts by class. The id list is bounded by that and broadcast."""
+    """(id, text, label) of at most ``per_class`` labelled rows of each class outside the held-out
+    fold, and all labelled rows' counts by class. The id list is bounded by that and broadcast; of
+    rows that share an id the one of the greatest text counts, so the sample is bounded too."""
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (common.crc32_bucket("doc_id", folds) != held_out))
     usable = usable.groupBy("doc_id").agg(F.max(label).alias("label"))
     counts = {r["label"]: r["count"] for r in usable.groupBy("label").count().collect()}
@@ -49,7 +50,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     picked = [usable.filter(F.col("label") == k).orderBy(order, "doc_id").limit(per_class) for k in (0, 1)]
     ids = F.broadcast(picked[0].unionByName(picked[1]).select(F.col("doc_id").alias("__id"), "label"))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.join(ids, rows.id == F.col("__id")).select("id", "text", "label"), counts
+    sample = rows.join(ids, rows.id == F.col("__id")).groupBy("id").agg(F.max("text").alias("text"), F.max("label").alias("label"))
+    return sample, counts
 
 
 def _vectors(raw: np.ndarray, model: Model) -> np.ndarray:

@@ -354,4 +354,4 @@ def test_pairs_that_are_toxic_only_together(spark, rule):
 
 def test_checked_broadcast_falls_back(spark):
     side = spark.range(10)
-    assert "broadcast" not in common.checked_broadcast(side, 5)._jdf.queryExecution().logical().toString().lower()
+    assert "broadcast" not in common.checked_broadcast(side, 100)._jdf.queryExecution().logical().toString().lower()
