@@ -24,55 +24,88 @@ def is_major(highway: Column) -> Column:
     return F.coalesce(highway.isin(*MAJOR), F.lit(False))
 
 
-def edge_costs(edges: DataFrame, nodes: DataFrame, surface: str, flat: bool) -> DataFrame:
-    """``edges`` with major, trail and cost for a preference: length, a new signal at the far end,
-    a major road, an unwanted surface and, if ``flat``, metres climbed."""
+#: Wishes that a cost is for.
+SURFACES = ("road", "mixed", "trail")
+
+
+def _with_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     side = lambda end: nodes.select(F.col("node_id").alias(end), F.col("signal").alias(f"{end}_signal"), F.col("elevation").alias(f"{end}_elevation"))
     both = edges.join(side("u"), "u").join(side("v"), "v")
+    return both.withColumns({"major": is_major(F.col("highway")), "trail": is_trail(F.col("highway"), F.col("surface"))})
+
+
+def _cost(surface: Column, flat: Column) -> Column:
     length = F.coalesce("length", F.lit(1.0))
-    both = both.withColumns({"major": is_major(F.col("highway")), "trail": is_trail(F.col("highway"), F.col("surface"))})
-    cost = length
-    cost = cost + F.when(F.col("v_signal") & (~F.col("u_signal") | (length > SIGNAL_APART)), SIGNAL).otherwise(0.0)
-    cost = cost + F.when(F.col("major"), F.greatest(F.lit(MAJOR_LEAST), MAJOR_SHARE * length)).otherwise(0.0)
-    if surface == "trail":
-        cost = cost + F.when(~F.col("trail"), PAVED_SHARE * length).otherwise(0.0)
-    elif surface == "road":
-        cost = cost + F.when(F.col("trail"), TRAIL_SHARE * length).otherwise(0.0)
-    if flat:
-        rise = F.col("v_elevation") - F.col("u_elevation")
-        cost = cost + CLIMB * F.when(rise > 0, rise).otherwise(0.0)
-    return both.select("u", "v", "key", "length", "major", "trail", cost.alias("cost"))
-
-
-def collapse(costs: DataFrame) -> DataFrame:
-    """One edge (u, v, key, cost) per pair of ends: the cheapest after the charge for entering a
-    node where two or more major roads meet by an edge that isn't one; the lowest key wins ties."""
-    major = costs.filter("major")
+    rise = F.col("v_elevation") - F.col("u_elevation")
+    return (
+        length
+        + F.when(F.col("v_signal") & (~F.col("u_signal") | (length > SIGNAL_APART)), SIGNAL).otherwise(0.0)
+        + F.when(F.col("major"), F.greatest(F.lit(MAJOR_LEAST), MAJOR_SHARE * length)).otherwise(0.0)
+        + F.when((surface == "trail") & ~F.col("trail"), PAVED_SHARE * length).when((surface == "road") & F.col("trail"), TRAIL_SHARE * length).otherwise(0.0)
+        + F.when(flat & (rise > 0), CLIMB * rise).otherwise(0.0)
+    )
+
+
+def edge_costs(edges: DataFrame, nodes: DataFrame, surface: str, flat: bool) -> DataFrame:
+    """``edges`` with major, trail and cost for a preference: length, a new signal at the far end,
+    a major road, an unwanted surface and, if ``flat``, metres climbed."""
+    return _with_ends(edges, nodes).select("u", "v", "key", "length", "major", "trail", _cost(F.lit(surface), F.lit(flat)).alias("cost"))
+
+
+def edge_costs_by_preference(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``edge_costs`` of every surface wish, flat or not, with these as columns; the ends are joined
+    once for all."""
+    wishes = F.array(*(F.struct(F.lit(s).alias("surface"), F.lit(f).alias("flat")) for s in SURFACES for f in (False, True)))
+    each = _with_ends(edges, nodes).drop("surface").select("*", F.inline(wishes))
+    return each.select("surface", "flat", "u", "v", "key", "length", "major", "trail", _cost(F.col("surface"), F.col("flat")).alias("cost"))
+
+
+def collapse(costs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One edge (u, v, key, cost) per pair of ends, and per ``by``: the cheapest after the charge for
+    entering a node where two or more major roads meet by an edge that isn't one; the lowest key
+    wins ties."""
+    major = costs.filter("major").select("u", "v").distinct()
     ends = major.select(F.col("u").alias("v"), F.col("v").alias("other")).unionByName(major.select("v", F.col("u").alias("other")))
     met = ends.distinct().groupBy("v").agg(F.count("*").alias("roads")).filter("roads >= 2")
     entered = costs.join(met, "v", "left")
     full = F.col("cost") + F.when(F.col("roads").isNotNull() & ~F.col("major"), CROSSING).otherwise(0.0)
-    best = entered.groupBy("u", "v").agg(F.min(F.struct(full.alias("cost"), "key")).alias("best"))
-    return best.select("u", "v", "best.key", F.col("best.cost").alias("cost"))
+    best = entered.groupBy(*by, "u", "v").agg(F.min(F.struct(full.alias("cost"), "key")).alias("best"))
+    return best.select(*by, "u", "v", "best.key", F.col("best.cost").alias("cost"))
+
 
+#: Cell sizes of successive rounds: the last one's nine cells span the globe.
+NEAREST_CELLS = (400.0, 3_200.0, 25_600.0, 204_800.0, 20_040_000.0)
 
-def nearest_nodes(points: DataFrame, nodes: DataFrame, key: str, cell: float = 400.0) -> DataFrame:
-    """(key, node_id, metres): each point's nearest node among those of its cell and the eight
-    around it, which holds for nodes within ``cell`` metres; points without any give no row.
 
-    An equi join on cells: each point is looked up in nine cells, so that nodes are neither
-    broadcast nor compared with every point.
-    """
-    here = points.select(key, "lat", "lon", geo.cell_row(F.col("lat"), cell).alias("row0"))
+def _nearest_within(points: DataFrame, nodes: DataFrame, key: str, cell: float) -> DataFrame:
+    """(key, node_id, metres) of points with a node in their cell or the eight around it: each node
+    stands in nine cells, and a point is looked up in its own."""
     steps = F.array(*(F.lit(i) for i in (-1, 0, 1)))
-    looked = here.withColumn("up", F.explode(steps)).withColumn("row", F.col("row0") + F.col("up"))
-    looked = looked.withColumn("across", F.explode(steps)).withColumn("column", F.floor(F.col("lon") / geo.column_width(F.col("row"), cell)).cast("long") + F.col("across"))
-    placed = nodes.select("node_id", "y", "x", geo.cell_row(F.col("y"), cell).alias("row"), geo.cell_column(F.col("y"), F.col("x"), cell).alias("column"))
+    here = points.select(key, "lat", "lon", geo.cell_row(F.col("lat"), cell).alias("row"), geo.cell_column(F.col("lat"), F.col("lon"), cell).alias("column"))
+    spread = nodes.select("node_id", "y", "x", F.explode(F.transform(steps, lambda i: geo.cell_row(F.col("y"), cell) + i)).alias("row"))
+    spread = spread.withColumn("column", F.explode(F.transform(steps, lambda i: F.floor(F.col("x") / geo.column_width(F.col("row"), cell)).cast("long") + i)))
     metres = F.round(geo.haversine(F.col("lat"), F.col("lon"), F.col("y"), F.col("x")), 6)
-    met = looked.join(placed, ["row", "column"]).groupBy(key).agg(F.min(F.struct(metres.alias("metres"), "node_id")).alias("best"))
+    met = here.join(spread, ["row", "column"]).groupBy(key).agg(F.min(F.struct(metres.alias("metres"), "node_id")).alias("best"))
     return met.select(key, "best.node_id", "best.metres")
 
 
+def nearest_nodes(points: DataFrame, nodes: DataFrame, key: str, cells: tuple[float, ...] = NEAREST_CELLS) -> DataFrame:
+    """(key, node_id, metres): each point's nearest node, the lowest on ties. Equi joins on cells: a
+    round is certain about nodes within its cell size, and points without one go on to the next
+    round's larger cells, which few do. Rounds are checkpointed."""
+    out, left = None, points
+    for place, cell in enumerate(cells):
+        found = _nearest_within(left, nodes, key, cell)
+        if place < len(cells) - 1:
+            found = found.filter(F.col("metres") <= cell)
+        found = found.checkpoint()
+        out = found if out is None else out.unionByName(found)
+        left = left.join(found.select(key), key, "left_anti").checkpoint()
+        if left.isEmpty():
+            break
+    return out
+
+
 def assign_tiles(cells: DataFrame, tiles: DataFrame) -> DataFrame:
     """(cell, tile, metres) of every cell: the nearest tile that reaches its centre, the lowest
     tile on ties, -1 without any. Tiles are a plan's dimension table; Spark broadcasts it where

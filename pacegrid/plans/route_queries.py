@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pacegrid import scratch
 from pacegrid.functions import geo
 from pacegrid.operators import elevation, exports, network, pools, reports, routes, scoring, selection
 from pacegrid.plans.street_queries import CELLS, EDGES, HAVERSINE, NODES, RANKED, REQUESTS, ROUTES
@@ -16,11 +15,6 @@ from pacegrid.sources import street_tables as t
 MOST_SHARED = 0.7
 
 
-def _checkpoints(spark: SparkSession) -> None:
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pacegrid-"))
-
-
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.route_nodes(spark, sf_dir).join(t.nodes(spark, sf_dir), "node_id").select("route_id", "pos", "node_id", "y", "x", "elevation")
 
@@ -31,7 +25,7 @@ def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def serve_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests of every node as origin, answered from whole loops keyed by their first cell."""
-    _checkpoints(spark)
+    scratch.checkpoints(spark)
     nodes, edges = t.nodes(spark, sf_dir), t.edges(spark, sf_dir)
     lengths = routes.repeated_share(_measured(spark, sf_dir)).filter("missing = 0").select("route_id", "metres")
     points = _points(spark, sf_dir)
@@ -44,7 +38,7 @@ def serve_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def distinct_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each area's routes up to five, none of which shares 70 percent with another."""
-    _checkpoints(spark)
+    scratch.checkpoints(spark)
     area = t.route_nodes(spark, sf_dir).filter("pos = 0").select("route_id", F.floor(F.col("node_id") / 11).alias("area"))
     walked = _measured(spark, sf_dir).filter("length is not null").join(area, "route_id")
     streets = routes.walked_streets(walked, "area").checkpoint()
@@ -134,14 +128,16 @@ QUERIES = {
 }
 
 GATE = f"""{RANKED}, gate AS (
-  SELECT request_id, count(*) FILTER (error <= 1e0) AS near, count(*) FILTER (error <= 1e0 AND NOT awkward) AS sound, min(surface) AS surface, min(target) AS target FROM ranked GROUP BY request_id
+  SELECT request_id, count(*) FILTER (error <= 0.25e0) AS near, count(*) FILTER (error <= 0.25e0 AND repeated <= 0.1e0) AS sound, min(surface) AS surface, min(target) AS target FROM ranked GROUP BY request_id
 ), said AS (SELECT *, CASE WHEN near < 2 THEN 'few in band' WHEN sound < 2 THEN 'few without doubling back' ELSE 'answered' END AS reason FROM gate)"""
 POINTS = f"{NODES}, {EDGES}, {ROUTES}, points AS (SELECT route_id, pos, n.* FROM route_nodes JOIN nodes n USING (node_id))"
 REPEATED = "again AS (SELECT *, row_number() OVER (PARTITION BY route_id, least(u, v), greatest(u, v) ORDER BY pos) > 1 AS again FROM measured)"
 _HIGH = "(200e0 / 110540e0)"
-_RING = f"""ring AS (
+def _ring(name: str, steps: int) -> str:
+    """Cells within so many steps of each node's, found by looking the stepped point up again."""
+    return f"""{name} AS (
   SELECT DISTINCT source, '200:' || r2 || ':' || CAST(floor((x + across * w0) / (200e0 / (111320e0 * cos(radians((r2 + 0.5e0) * {_HIGH}))))) AS BIGINT) AS cell FROM (
-    SELECT node_id AS source, x, row + up AS r2, across, 200e0 / (111320e0 * cos(radians((row + 0.5e0) * {_HIGH}))) AS w0 FROM celled, generate_series(-2, 2) a(up), generate_series(-2, 2) b(across)))"""
+    SELECT node_id AS source, x, row + up AS r2, across, 200e0 / (111320e0 * cos(radians((row + 0.5e0) * {_HIGH}))) AS w0 FROM celled, generate_series(-{steps}, {steps}) a(up), generate_series(-{steps}, {steps}) b(across)))"""
 
 
 def _answers(asked: str, looked: str, limit: str, label: str) -> str:
@@ -153,22 +149,22 @@ def _answers(asked: str, looked: str, limit: str, label: str) -> str:
 
 
 SQL = {
-    "srv1_serve_pools": f"""WITH RECURSIVE {POINTS}, {CELLS}, {_RING}, short AS (SELECT u, v, min(length) AS step FROM edges GROUP BY u, v),
+    "srv1_serve_pools": f"""WITH RECURSIVE {POINTS}, {CELLS}, {_ring('near', 1)}, {_ring('ring', 2)}, short AS (SELECT u, v, min(length) AS step FROM edges GROUP BY u, v),
 walk AS (SELECT node_id AS source, node_id, 0e0 AS metres FROM nodes UNION ALL SELECT source, v, metres + step FROM walk JOIN short ON node_id = u WHERE metres + step <= 500e0),
 away AS (SELECT source, node_id, min(metres) AS out FROM walk GROUP BY source, node_id),
 reach AS (SELECT a.source, a.node_id, a.out, b.out AS back FROM away a JOIN away b ON a.source = b.node_id AND a.node_id = b.source),
 lengths AS (SELECT route_id, round(sum(length), 4) AS metres FROM measured GROUP BY route_id HAVING count(*) = count(length)),
 firsts AS (SELECT route_id, '200:' || c.row || ':' || c.col AS cell FROM route_nodes r JOIN celled c USING (node_id) WHERE pos = 0),
 loops AS (SELECT r.route_id, r.pos, r.node_id, f.cell, l.metres FROM route_nodes r JOIN firsts f USING (route_id) JOIN lengths l USING (route_id)),
-asked AS (SELECT node_id AS request_id, 1e0 + node_id % 2 * 0.5e0 AS target FROM nodes), near AS (SELECT node_id AS source, '200:' || row || ':' || col AS cell FROM celled),
+asked AS (SELECT node_id AS request_id, 1e0 + node_id % 2 * 0.5e0 AS target FROM nodes),
 one AS ({_answers("asked", "near", "300e0", "none")}), open AS (SELECT * FROM asked WHERE request_id NOT IN (SELECT request_id FROM one)), two AS ({_answers("open", "ring", "500e0", "wider")})
 SELECT request_id, retry, route_id, pos, round(connector, 2) AS connector, round(joined, 1) AS metres FROM (SELECT * FROM one UNION ALL SELECT * FROM two)""",
     "sel1_distinct_routes": f"""WITH RECURSIVE {NODES}, {EDGES}, {ROUTES}, placed AS (
-  SELECT * FROM (SELECT route_id, node_id // 11 AS area, row_number() OVER (PARTITION BY node_id // 11 ORDER BY route_id) AS place FROM route_nodes WHERE pos = 0) WHERE place <= 60
+  SELECT route_id, node_id // 11 AS area, row_number() OVER (PARTITION BY node_id // 11 ORDER BY route_id) AS place FROM route_nodes WHERE pos = 0
 ), streets AS (SELECT area, route_id, least(u, v) AS p, greatest(u, v) AS q, max(length) AS length FROM measured JOIN placed USING (route_id) WHERE length IS NOT NULL GROUP BY ALL),
 totals AS (SELECT route_id, sum(length) AS total FROM streets GROUP BY route_id),
 met AS (SELECT x.route_id AS a, y.route_id AS b, sum(least(x.length, y.length)) AS shared FROM streets x JOIN streets y USING (area, p, q) WHERE x.route_id <> y.route_id GROUP BY ALL),
-against AS (SELECT a AS route_id, list(b) AS against FROM met JOIN totals ta ON a = ta.route_id JOIN totals tb ON b = tb.route_id WHERE round(shared / (ta.total + tb.total - shared), 6) >= 0.3 GROUP BY a),
+against AS (SELECT a AS route_id, list(b) AS against FROM met JOIN totals ta ON a = ta.route_id JOIN totals tb ON b = tb.route_id WHERE round(shared / (ta.total + tb.total - shared), 6) >= 0.7 GROUP BY a),
 queue AS (SELECT area, place, route_id, coalesce(against, []::BIGINT[]) AS against FROM placed LEFT JOIN against USING (route_id)),
 pick AS (SELECT DISTINCT area, CAST(0 AS BIGINT) AS place, []::BIGINT[] AS chosen FROM queue
   UNION ALL SELECT p.area, q.place, CASE WHEN len(chosen) < 5 AND NOT list_has_any(chosen, against) THEN list_append(chosen, route_id) ELSE chosen END FROM pick p JOIN queue q ON p.area = q.area AND q.place = p.place + 1),

@@ -83,3 +83,20 @@ def test_recorder_stream_equals_table(spark, tmp_path):
     query = stream.writeStream.format("memory").queryName("runs").option("checkpointLocation", str(tmp_path / "at")).outputMode("append").trigger(availableNow=True).start()
     assert query.awaitTermination(90)
     assert sorted(map(tuple, spark.table("runs").collect())) == sorted(map(tuple, recorder.record_table(fixes).collect()))
+
+
+def test_far_points_find_their_nearest_node(spark):
+    from pacegrid import scratch
+
+    scratch.checkpoints(spark)
+    nodes = spark.createDataFrame([(1, 38.0, -78.0), (2, 38.0, -78.2), (3, 38.001, -78.0)], "node_id long, y double, x double")
+    points = spark.createDataFrame([(1, 38.0, -78.001), (2, 38.3, -78.1), (3, 39.9, -80.0), (4, -20.0, 100.0)], "request_id long, lat double, lon double")
+    found = {r.request_id: r for r in network.nearest_nodes(points, nodes, "request_id").collect()}
+
+    def plain(lat, lon):
+        far = lambda y, x: 2 * 6371008.8 * math.asin(math.sqrt(math.sin(math.radians(y - lat) / 2) ** 2 + math.cos(math.radians(lat)) * math.cos(math.radians(y)) * math.sin(math.radians(x - lon) / 2) ** 2))
+        return min((round(far(n.y, n.x), 6), n.node_id) for n in nodes.collect())
+
+    for p in points.collect():
+        metres, node = plain(p.lat, p.lon)
+        assert found[p.request_id].node_id == node and abs(found[p.request_id].metres - metres) < 1e-3
