@@ -1,5 +1,5 @@
-"""Hashed features of texts for the classifiers: shape n-grams with repetition measures, and
-word terms. All work on the bytes of many texts at once."""
+"""Hashed features of texts for the classifiers: shape n-grams with repetition measures, words and
+word pairs, and word terms. All work on the bytes of many texts at once."""
 
 from __future__ import annotations
 
@@ -79,6 +79,19 @@ def _measures(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def word_matrix(data: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarray:
+    """(texts, width) float32: roots of the shares of hashed words and pairs of neighbouring words
+    (A-Z lower-cased)."""
+    docs = len(offsets) - 1
+    words = Words(data, offsets, letter_words())
+    doc, h = words.doc, words.hash
+    near = doc[1:] == doc[:-1]
+    pairs = mix(h[:-1][near] * np.uint64(P) + h[1:][near] + M[2])
+    doc, h = np.concatenate([doc, doc[1:][near]]), np.concatenate([h, pairs])
+    counts = np.bincount(doc * width + (h % np.uint64(width)).astype(np.int64), minlength=docs * width).reshape(docs, width)
+    return np.sqrt(counts / np.maximum(1, np.bincount(doc, minlength=docs))[:, None]).astype(np.float32)
+
+
 def word_terms(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(text, slot) of all hashed terms, repeats included: words (A-Z lower-cased) and their
     first 4, 5 and 6 bytes where longer."""

@@ -1,7 +1,7 @@
 """Quality classifier by nearest-neighbour voting over latent-semantic vectors.
 
-Hashed shape terms of a bounded sample of labelled rows are weighed by inverse document
-frequency and reduced by a truncated SVD. The labelled vectors are broadcast; every document
+Hashed words, word pairs and shape terms of a bounded sample of labelled rows are weighed by
+inverse document frequency and reduced by a truncated SVD. The labelled vectors are broadcast; every document
 gets the exact cosine against all of them, block by block as one matrix product, and its
 nearest neighbours vote with their similarity.
 
@@ -20,19 +20,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from pacegrid.llm import common
-from pacegrid.llm.features import shape_matrix
+from pacegrid.llm.features import shape_matrix, word_matrix
 
 #: Most labelled rows of each class that a fit takes: those with the smallest hash of the id.
 SAMPLE_PER_CLASS = 1500
-WIDTH, RANK, NEIGHBOURS, POWER = 1024, 48, 25, 4
+SHAPES, WORDS, RANK, NEIGHBOURS, POWER = 1024, 1024, 64, 25, 4
+#: Factor of words and word pairs against shapes.
+WORD_WEIGHT = 1.0
 #: Labels of rows of this remainder of crc32(id) by FOLDS are held out.
 FOLDS, HELD_OUT = 3, 1
 
 
 @dataclass
 class Model:
-    weights: np.ndarray  # (WIDTH,) inverse document frequencies
-    basis: np.ndarray  # (WIDTH, RANK)
+    weights: np.ndarray  # (terms,) inverse document frequencies
+    basis: np.ndarray  # (terms, RANK)
     vectors: np.ndarray  # (RANK, labelled) of unit length
     labels: np.ndarray
     prior: float
@@ -54,6 +56,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     return sample, counts
 
 
+def term_matrix(column: pa.Array) -> np.ndarray:
+    """(texts, terms) float32 of a text column."""
+    data, offsets = common.text_buffer(column)
+    return np.concatenate([shape_matrix(data, offsets, SHAPES), WORD_WEIGHT * word_matrix(data, offsets, WORDS)], axis=1)
+
+
 def _vectors(raw: np.ndarray, model: Model) -> np.ndarray:
     found = (raw * model.weights) @ model.basis
     return found / np.maximum(1e-9, np.linalg.norm(found, axis=1, keepdims=True))
@@ -61,12 +69,12 @@ def _vectors(raw: np.ndarray, model: Model) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, **columns) -> Model | None:
     """The model, or None without labelled rows. Features are computed by the executors; the
-    driver gets ``2 * per_class`` rows of ``WIDTH`` shares at most."""
+    driver gets ``2 * per_class`` rows of shares at most."""
     sample, counts = labelled_sample(docs, labels, "quality", FOLDS, HELD_OUT, per_class, **columns)
 
     def shapes(batches):
         for batch in common.text_slices(batches, "text"):
-            raw = shape_matrix(*common.text_buffer(batch.column(1)), WIDTH).astype(np.float16)
+            raw = term_matrix(batch.column(1)).astype(np.float16)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2).cast(pa.int32()), pa.array([r.tobytes() for r in raw], pa.binary())], ["id", "label", "raw"])
 
     rows = sample.mapInArrow(shapes, f"id {sample.schema['id'].dataType.simpleString()}, label int, raw binary").toArrow().sort_by("id")
@@ -102,7 +110,7 @@ def vote(raw: np.ndarray, model: Model) -> np.ndarray:
 def scores_of(model: Model | None, column: pa.Array) -> np.ndarray:
     if model is None:
         return np.ones(len(column))
-    return vote(shape_matrix(*common.text_buffer(column), WIDTH), model)
+    return vote(term_matrix(column), model)
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -326,6 +326,26 @@ def test_classifiers(spark, docs, empty):
     assert quality.keep_good(docs, None).count() == docs.count()
 
 
+def test_votes_against_plain_cosines():
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randrange(2, 7)))
+    texts = [" ".join(word() for _ in range(rng.randrange(5, 60))) for _ in range(120)] + ["", None, "A! " * 40]
+    raw = quality.term_matrix(pa.array(texts[:100]))
+    weights = np.random.default_rng(3).random(raw.shape[1]).astype(np.float32)
+    basis = np.linalg.qr(np.random.default_rng(4).random((raw.shape[1], quality.RANK)))[0].astype(np.float32)
+    model = quality.Model(weights, basis, np.zeros((0, 0)), np.array([float(i % 3 > 0) for i in range(100)], np.float32), 0.6, (2.0, 0.7))
+    model.vectors = np.ascontiguousarray(quality._vectors(raw, model).T)
+    found = quality.scores_of(model, pa.array(texts))
+    for text, score in zip(texts, found, strict=True):
+        own = (quality.term_matrix(pa.array([text], pa.string()))[0].astype(float) * weights) @ basis
+        cosines = []
+        for i in range(100):
+            other = (raw[i].astype(float) * weights) @ basis
+            cosines.append((float(own @ other) / max(1e-9, np.linalg.norm(own)) / np.linalg.norm(other), i))
+        votes = [(max(1e-6, c) ** quality.POWER * model.balance[int(model.labels[i])], model.labels[i]) for c, i in sorted(cosines, reverse=True)[: quality.NEIGHBOURS]]
+        assert score == pytest.approx(sum(v * label for v, label in votes) / sum(v for v, _ in votes), abs=2e-3)
+
+
 @pytest.mark.parametrize("rule", ["xor", "and"])
 def test_pairs_that_are_toxic_only_together(spark, rule):
     # Through fit: each word alone is balanced between the labels, or nearly so.

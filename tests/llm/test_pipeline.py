@@ -1,7 +1,81 @@
+import collections
+import hashlib
+import random
+
 import corpus_pipeline
+import public_tokenizers
+from test_corpus_operators import brute_components, norm
+from test_text_operators import ENC
+
+from pacegrid.llm import mixing, quality
+
+
+def tables(spark, folder, rows, labels):
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+
+
+def test_stages_against_brute_force(spark, tmp_path):
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randrange(2, 8)))
+    rows, labels = [], []
+    for i in range(240):
+        words = [word() for _ in range(rng.randrange(30, 70))]
+        junk = i % 4 == 0
+        text = " ".join(w.upper() + "!!" if junk else w for w in words)
+        if i % 4 == 3:  # an exact copy up to blanks, a near copy or another text
+            earlier = rows[rng.randrange(len(rows))][1]
+            text = [earlier.replace(" ", "  "), earlier + " end", text][i % 3]
+            junk = "!!" in text
+        rows.append((i, text, "en", rng.choice(["a", "a", "b", None]), len(text)))
+        if i % 2:
+            labels.append((i, int(not junk), 0))
+    rows += [(None, None, None, None, None), (900, "", None, "b", 0)]
+    folder = str(tmp_path)
+    tables(spark, folder, rows, labels)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    given = spark.read.parquet(f"{folder}/labels.parquet")
+
+    now, seen = docs, {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = corpus_pipeline.common.written(stage(spark, now, folder), name)
+        assert now.columns == docs.columns
+        seen[name] = now.collect()
+
+    scores = {r.doc_id: r.score for r in quality.score(docs, quality.fit(docs, given)).collect()}
+    by_id = {r[0]: r for r in rows}
+    assert {r.doc_id for r in seen["quality"]} == {i for i in by_id if scores[i] >= 0.5} and len(seen["quality"]) < len(rows)
+    assert all("!!" not in (r.text or "") for r in seen["quality"])
+
+    groups = collections.defaultdict(list)
+    for r in seen["quality"]:
+        groups[norm(r.text)].append(r.doc_id)
+    kept = {min(ids, key=lambda i: (i is None, i)) for ids in groups.values()}
+    assert {r.doc_id for r in seen["exact_dedup"]} == kept and len(seen["exact_dedup"]) == len(groups) < len(seen["quality"])
+
+    texts = {r.doc_id: r.text for r in seen["exact_dedup"] if r.doc_id is not None}
+    names, _ = brute_components(texts)
+    assert {r.doc_id for r in seen["near_dedup"] if r.doc_id is not None} == set(names.values())
+    assert len(seen["near_dedup"]) < len(seen["exact_dedup"])
+
+    near = corpus_pipeline.common.written(spark.createDataFrame(seen["near_dedup"], docs.schema), "near")
+    want = {r.doc_id: r.copies for r in mixing.copies(near).collect() if r.copies}
+    assert collections.Counter(r.doc_id for r in seen["mix"]) == want
+
+    found = corpus_pipeline.run(spark, folder).collect()
+    assert collections.Counter(r.doc_id for r in found) == want
+    for r in found:
+        text = by_id[r.doc_id][1] or ""
+        assert r.token_ids == ENC.encode_ordinary(text) and r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    assert public_tokenizers.path(corpus_pipeline.bpe.RANKS)
+
+
+def test_empty_tables(spark, tmp_path):
+    tables(spark, str(tmp_path), [], [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
-def test_stages(spark, docs, tmp_path):
+def test_without_labels_nothing_is_rejected(spark, docs, tmp_path):
     folder = str(tmp_path / "tables")
     docs.write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
