@@ -68,13 +68,25 @@ def exact_groups(keyed: DataFrame) -> DataFrame:
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    Rows are told apart by number, so null and repeated ids take no part. The numbers of dropped
-    rows are broadcast where their bytes allow; beyond, that join shuffles the rows once.
+    Rows are told apart by id and full hash. Only where a row that stays repeats in both are the
+    rows written once more with numbers, and told apart by these. What is known of dropped rows is
+    broadcast where its bytes allow; beyond, that join shuffles the rows once.
     """
-    rows, row = common.numbered(docs, "dedup-rows")
-    gone = exact_groups(keys(rows, id_col, text_col, row)).filter("not kept").select(F.col("rid").alias(row))
+    result = common.written(exact_groups(keys(docs, id_col, text_col)), "dedup-result")
+    kept = result.filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
+    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_sha256") == F.col("kept_sha"))
+    dropped = result.filter("not kept")
+    if not dropped.join(kept, same, "left_semi").isEmpty():
+        rows, row = common.numbered(docs, "dedup-rows")
+        gone = exact_groups(keys(rows, id_col, text_col, row)).filter("not kept").select(F.col("rid").alias(row))
+        gone = common.checked_broadcast(common.written(gone, "dedup-gone"))
+        return rows.join(gone, row, "left_anti").select(*docs.columns)
+    id_name, sha_name = common.fresh(docs, "__id"), common.fresh(docs, "__sha")
+    gone = dropped.select(F.col("doc_id").alias(id_name), F.col("text_sha256").alias(sha_name)).distinct()
     gone = common.checked_broadcast(common.written(gone, "dedup-gone"))
-    return rows.join(gone, row, "left_anti").select(*docs.columns)
+    own = common.fresh(docs, "__own")
+    hashed = docs.withColumn(own, F.sha2(normalised(F.col(text_col)).cast("binary"), 256))
+    return hashed.join(gone, hashed[id_col].eqNullSafe(gone[id_name]) & (hashed[own] == gone[sha_name]), "left_anti").select(*docs.columns)
 
 
 def op10_exact_dedup(spark, sf_dir: str) -> DataFrame:
