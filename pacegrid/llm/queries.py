@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pacegrid.llm import bpe, chat, dedup, jaccard, langid, mixing, ogg, pii, quality, toxicity
+from pacegrid.llm import bpe, chat, dedup, filteraudit, jaccard, langid, mixing, ogg, pii, quality, tokencount, toxicity, whitening
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
@@ -15,11 +15,15 @@ QUERIES = {
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_source_mixing": mixing.op9_source_mixing,
     "op10_exact_dedup": dedup.op10_exact_dedup,
+    "op11_token_counts": tokencount.op11_token_counts,
+    "op12_embedding_whitening": whitening.op12_embedding_whitening,
+    "op13_filter_audit": filteraudit.op13_filter_audit,
 }
 
 SQL = {
     "op9_source_mixing": mixing.ORACLE_SQL,
     "op10_exact_dedup": dedup.ORACLE_SQL,
+    "op13_filter_audit": filteraudit.ORACLE_SQL,
 }
 
 
