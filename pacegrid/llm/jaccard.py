@@ -114,8 +114,8 @@ def lists_of(parts: list[np.ndarray]) -> pa.ListArray:
 
 
 def signatures(docs: DataFrame, frequent) -> DataFrame:
-    """(doc_id, n_shingles, signature, prefix, spare, rid) of every document, written; empty sets
-    have no signature."""
+    """(doc_id, mark, n_shingles, signature, prefix, spare, rid) of every document, written; empty
+    sets have no signature."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
     id_type = docs.schema["id"].dataType.simpleString()
 
@@ -131,17 +131,20 @@ def signatures(docs: DataFrame, frequent) -> DataFrame:
                 rare, often = in_order(grams, shared.value)
                 leading = rare[:window] if len(rare) >= window else np.concatenate([rare, often])[:window]
                 prefixes.append(leading[:first]), spares.append(leading[first:])
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), lists_of(prefixes), lists_of(spares)]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n_shingles", "signature", "prefix", "spare"])
+            columns = [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), lists_of(prefixes), lists_of(spares)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "mark", "n_shingles", "signature", "prefix", "spare"])
 
-    found = docs.mapInArrow(run, f"id {id_type}, n_shingles long, signature binary, prefix array<long>, spare array<long>")
+    found = docs.mapInArrow(run, f"id {id_type}, mark long, n_shingles long, signature binary, prefix array<long>, spare array<long>")
     return common.written(found.withColumnRenamed("id", "doc_id").withColumn("rid", F.monotonically_increasing_id()), "jaccard-signatures")
 
 
 def named_sets(signed: DataFrame) -> DataFrame:
-    """(signature, node, first) of every distinct set, written: its node is the least row number
-    that has it, and ``first`` its smallest id."""
-    sets = signed.filter("signature is not null").groupBy("signature").agg(F.min("rid").alias("node"), F.min("doc_id").alias("first"))
+    """(signature, node, first, owner, mark) of every distinct set, written: its node is the least
+    row number that has it, ``owner`` and ``mark`` that row's id and the hash of its text, and
+    ``first`` its smallest id."""
+    of_node = lambda c: F.min_by(c, "rid")
+    sets = signed.filter("signature is not null").groupBy("signature")
+    sets = sets.agg(F.min("rid").alias("node"), F.min("doc_id").alias("first"), of_node("doc_id").alias("owner"), of_node("mark").alias("mark"))
     return common.written(sets, "jaccard-sets")
 
 
@@ -157,21 +160,24 @@ def shared_postings(signed: DataFrame, sets: DataFrame) -> DataFrame:
 
 def segments(docs: DataFrame, sets: DataFrame, nodes: DataFrame, frequent, fragments: range) -> DataFrame:
     """(node, fragment, grams) of the given nodes, written. Fragments are equal ranges of hashes;
-    the last one takes the frequent n-grams. Only texts of documents that are the first of one of
-    these nodes are read again, and a text gives segments if its set is that node's."""
+    the last one takes the frequent n-grams. Only rows with the id and the text's hash of one of
+    these nodes are read again, so that rows without an id, or of one id, don't all meet; of rows
+    that repeat both a task takes one."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
-    wanted = sets.join(nodes, "node", "left_semi").select(F.col("first").alias("wanted"), "signature", "node")
+    wanted = sets.join(nodes, "node", "left_semi").select("owner", F.col("mark").alias("wanted"), "signature", "node")
     wanted = common.checked_broadcast(common.written(wanted, "jaccard-wanted"))
-    texts = docs.join(wanted, F.col("id").eqNullSafe(F.col("wanted"))).select("text", "signature", "node")
+    texts = docs.join(wanted, F.col("id").eqNullSafe(F.col("owner")) & (F.col("mark") == F.col("wanted"))).select("text", "signature", "node")
     width = np.uint64(2**64 // (FRAGMENTS - 1) + 1)
 
     def run(batches):
+        done = set()
         for batch in common.text_slices(batches, "text"):
             nodes, numbers, parts = [], [], []
             named = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
             for grams, (signature, node) in zip(shingle_sets(*common.text_buffer(batch.column(0)), WORDS), named, strict=True):
-                if not len(grams) or signature_of(grams) != signature:
+                if node in done or not len(grams) or signature_of(grams) != signature:
                     continue
+                done.add(node)
                 rare, often = in_order(grams, shared.value)
                 cuts = np.searchsorted(rare // width, np.arange(FRAGMENTS, dtype=np.uint64))
                 for k in fragments:
@@ -274,32 +280,32 @@ def _across(split: DataFrame) -> DataFrame:
 #: Places that a set's first n-grams take.
 FIRST = f"100 * place <= {100 - PERCENT} * n"
 
+
 def second_order(split: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Postings (gram, node, n, label, place) of the settled crowded nodes in the second order, all
     rare; (node, n, label, taken, level) of all crowded nodes, with the number of kept n-grams that
-    each takes; and the n-grams that aren't rare. All written."""
+    each takes; and the n-grams that come last. All written.
+
+    The n-grams that come last are one set for all: those that more than ``RARE`` crowded nodes, not
+    all of one label, have among their first and taken ones. Each such node passes over every one of
+    the set, also where it is the only one that has it as a first one."""
     crowded = split.groupBy("node", "n", "label").agg(F.count_if(F.col("nodes") > RARE).alias("full")).filter("full > 0")
     crowded = common.written(crowded, "jaccard-crowded")
-    ends = common.checked_broadcast(crowded.select("node", "n", "label", "full"))
     taken = F.slice("spare", F.lit(1), F.least(F.size("spare"), (2 * F.col("full") + 4).cast("int")))
-    spares = signed.join(ends, F.col("rid") == F.col("node")).select("node", "n", "label", F.size("prefix").alias("first"), taken.alias("taken"))
-    sizes = spares.select("node", F.size("taken").alias("taken"))
-    spares = spares.select("node", "n", "label", "first", F.posexplode("taken").alias("place", "gram"))
-    mine = split.join(common.checked_broadcast(crowded.select("node")), "node", "left_semi")
-    rows = mine.select("gram", "node", "n", "label", F.col("place").alias("at"), F.col("nodes").alias("firsts"), F.lit(0).alias("more"))
-    rows = rows.unionByName(spares.select("gram", "node", "n", "label", (F.col("first") + F.col("place")).alias("at"), F.lit(0).cast("long").alias("firsts"), F.lit(1).alias("more")))
-    counts = rows.groupBy("gram").agg(F.count("*").alias("rows"), (F.max("firsts") + F.sum("more")).alias("nodes")).filter("rows > 1")
-    counts = common.written(counts.select("gram", F.col("nodes").alias("held")), "jaccard-counts")
-    full = F.col("held") > RARE
-    rows = rows.join(counts, "gram").withColumn("full", full).withColumn("place", F.col("at") - F.count_if(full).over(Window.partitionBy("node").orderBy("at")))
-    rows = common.written(rows.select("gram", "node", "n", "label", "place", "full"), "jaccard-windows")
-    passed = rows.groupBy("node").agg(F.count_if("full").alias("passed"))
-    levels = crowded.join(sizes, "node").join(passed, "node", "left")
-    level = F.when(F.coalesce("passed", F.lit(0)) > F.col("taken"), 2).otherwise(1)
-    levels = common.written(levels.select("node", "n", "label", "taken", level.alias("level")), "jaccard-levels")
-    short = common.checked_broadcast(levels.filter("level = 2").select("node"))
-    settled = rows.filter(f"not full and {FIRST}").join(short, "node", "left_anti")
-    return settled.select("gram", "node", "n", "label", "place"), levels, counts.filter(full).select("gram")
+    windows = signed.join(common.checked_broadcast(crowded), F.col("rid") == F.col("node"))
+    windows = windows.select("node", "n", "label", F.size(taken).alias("taken"), F.concat("prefix", taken).alias("grams"))
+    rows = windows.select("node", "label", F.explode("grams").alias("gram"))
+    held = rows.groupBy("gram").agg(F.count("*").alias("nodes"), F.min("label").alias("least"), F.max("label").alias("most"))
+    full = common.written(held.filter(f"nodes > {RARE} and least < most").select("gram"), "jaccard-full")
+    passed = rows.join(common.checked_broadcast(full), "gram").groupBy("node").agg(F.collect_list("gram").alias("passed"))
+    passed = common.written(passed, "jaccard-passed")
+    none = F.array().cast("array<long>")
+    windows = windows.join(common.checked_broadcast(passed), "node", "left").withColumn("passed", F.coalesce("passed", none))
+    level = F.when(F.size("passed") > F.col("taken"), 2).otherwise(1)
+    levels = common.written(windows.select("node", "n", "label", "taken", level.alias("level")), "jaccard-levels")
+    settled = windows.filter(level == 1).select("node", "n", "label", F.posexplode(F.array_except("grams", "passed")).alias("place", "gram"))
+    settled = common.written(settled.filter(FIRST).select("gram", "node", "n", "label", "place"), "jaccard-windows")
+    return settled, levels, full
 
 
 def rare_meetings(split: DataFrame, signed: DataFrame, levels: DataFrame, grams: DataFrame, full: DataFrame) -> DataFrame:
@@ -358,7 +364,7 @@ def open_pairs(labelled: DataFrame, docs: DataFrame, signed: DataFrame, sets: Da
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id reachable by links)."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
     frequent = frequent_ngrams(rows)
     signed = signatures(rows, frequent)
     sets = named_sets(signed)

@@ -129,6 +129,48 @@ def test_jaccard_against_brute_force(spark, monkeypatch, rare, rounds):
     assert {r.doc_id for r in jaccard.drop_near_duplicates(docs).collect()} == set(want.values())
 
 
+def passage_texts(seed, n):
+    """Few passages that crowds of texts share, with a few words of each text's own."""
+    rng = random.Random(seed)
+    passages = [[f"p{k}_{i}" for i in range(rng.choice([6, 10, 14, 14, 20, 34]))] for k in range(rng.choice([5, 9]))]
+    texts = {}
+    for i in range(n):
+        words = []
+        for passage in rng.sample(passages, rng.choice([1, 1, 1, 2, 2, 3])):
+            words += passage[: len(passage) - rng.choice([0, 0, 0, 1, 2])]
+        for _ in range(rng.choice([0, 1, 2, 3])):
+            words.insert(rng.choice([0, len(words), len(words), rng.randrange(len(words))]), f"o{rng.randrange(n // 4)}")
+        texts[i] = " ".join(words)
+    return texts
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("rare,rounds", [(rare, rounds) for rare in (1, 2, 8) for rounds in (0, 1, 2)])
+def test_jaccard_of_shared_passages(spark, monkeypatch, rare, rounds, seed):
+    monkeypatch.setattr(jaccard, "RARE", rare)
+    monkeypatch.setattr(jaccard, "STAR_ROUNDS", rounds)
+    # The combinations that ship and the one without help run over most texts.
+    texts = passage_texts(seed, 1000 if (rare, rounds) in ((8, 0), (8, 1), (8, 2), (2, 1)) and seed < 3 else 260)
+    want, _ = brute_components(texts)
+    found = jaccard.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in found.collect()} == want
+
+
+def test_jaccard_rows_without_own_ids(spark):
+    """Rows of one id, or of none, are as much work as others."""
+    texts = list(passage_texts(4, 400).values())
+    names = lambda found: collections.Counter(r.n_shingles for r in found)
+    table = lambda ids: spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    rows = jaccard.near_duplicates(table(range(400))).collect()
+    for ids in ([None] * 400, [7] * 400):
+        found = jaccard.near_duplicates(table(ids)).collect()
+        assert names(found) == names(rows) and {r.component_id for r in found} == {ids[0]}
+    kept = jaccard.drop_near_duplicates(table([None] * 400))
+    assert kept.count() == len({r.component_id for r in rows})
+    again = spark.createDataFrame([(1, texts[0])] * 50 + [(2, texts[0] + " x")], "doc_id long, text string")
+    assert {r.component_id for r in jaccard.near_duplicates(again).collect()} <= {1, 2}
+
+
 def test_jaccard_edges(docs, empty):
     rows = {r.doc_id: r for r in jaccard.near_duplicates(docs).collect()}
     assert rows[1].component_id == rows[2].component_id == 0 and rows[8].component_id == 7
