@@ -48,6 +48,38 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forth.unionByName(back)
 
 
+def road_names(edges: DataFrame) -> DataFrame:
+    """``edges`` with ``names``, an array: main roads are named by their row or column."""
+    lower = F.least("u", "v")
+    row, column = F.floor(lower / WIDTH), lower % WIDTH
+    name = F.when(F.abs(F.col("u") - F.col("v")) == 1, F.concat(F.lit("R"), row)).otherwise(F.concat(F.lit("C"), column))
+    return edges.withColumn("names", F.when(F.col("highway") == "primary", F.array(name)).otherwise(F.array().cast("array<string>")))
+
+
+def figure_eights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(route_id, pos, y, x): for each customer a rectangle, and one at its first corner that is walked the
+    other way round."""
+    s = F.col("c_custkey").cast("long")
+    shaped = table(spark, sf_dir, "customer").select(s.alias("route_id"), (s % 3).alias("r"), (s % 44).alias("c"), (1 + s % 4).alias("w"), (1 + s % 2).alias("h"), (1 + s % 3).alias("w2"))
+    corner = lambda up, across: F.struct(up.alias("up"), across.alias("across"))
+    none = F.lit(0).cast("long")
+    w, h, w2 = F.col("w"), F.col("h"), F.col("w2")
+    corners = F.array(corner(none, none), corner(none, w), corner(h, w), corner(h, none), corner(none, none), corner(none, -w2), corner(-h, -w2), corner(-h, none), corner(none, none))
+    each = shaped.select("route_id", "r", "c", F.posexplode(corners).alias("pos", "at"))
+    return each.select("route_id", F.col("pos").cast("long").alias("pos"), (38.0 + (F.col("r") + F.col("at.up")) * 0.0013).alias("y"), (-78.5 + (F.col("c") + F.col("at.across")) * 0.0017).alias("x"))
+
+
+def returning_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(route_id, pos, y, x): for each customer a street walked out and partly back, on the same line, on
+    its other side, or on the next street."""
+    s = F.col("c_custkey").cast("long")
+    shaped = table(spark, sf_dir, "customer").select(s.alias("route_id"), (s % 7).alias("r"), (s % 44).alias("c"), (1 + s % 4).alias("w"), F.element_at(F.array(F.lit(0.0), F.lit(0.0001), F.lit(0.0003)), (s % 3 + 1).cast("int")).alias("off"))
+    point = lambda up, across: F.struct(up.alias("up"), across.alias("across"))
+    w, off = F.col("w").cast("double"), F.col("off")
+    each = shaped.select("route_id", "r", "c", F.posexplode(F.array(point(F.lit(0.0), F.lit(0.0)), point(F.lit(0.0), w), point(off, w), point(off, w / 3))).alias("pos", "at"))
+    return each.select("route_id", F.col("pos").cast("long").alias("pos"), (38.0 + F.col("r") * 0.0013 + F.col("at.up")).alias("y"), (-78.5 + (F.col("c") + F.col("at.across")) * 0.0017).alias("x"))
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(request_id, lat, lon, target_miles): starts near nodes, off the grid."""
     count = nodes(spark, sf_dir).agg(F.count("*").alias("count"))
