@@ -4,24 +4,50 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from pacegrid.functions import geo
 
 #: Highways that are trails or major roads, unpaved surfaces, costs in metres.
 TRAILS = ("bridleway", "footway", "path", "track")
-UNPAVED = ("compacted", "dirt", "earth", "fine_gravel", "grass", "gravel", "ground", "mud", "sand", "unpaved")
+UNPAVED = ("compacted", "dirt", "earth", "fine_gravel", "gravel", "ground", "mud", "sand", "unpaved", "woodchips")
 MAJOR = ("motorway", "trunk", "primary", "secondary")
 SIGNAL, SIGNAL_APART, CROSSING, MAJOR_LEAST, MAJOR_SHARE = 450.0, 40.0, 300.0, 120.0, 1.8
 PAVED_SHARE, TRAIL_SHARE, CLIMB = 0.65, 0.80, 10.0
 
 
-def is_trail(highway: Column, surface: Column) -> Column:
-    return F.coalesce(highway.isin(*TRAILS), F.lit(False)) | F.coalesce(surface.isin(*UNPAVED), F.lit(False))
+#: Spellings of a signalled crossing.
+SIGNALLED = ("traffic_signals", "pedestrian_signals", "signals")
 
 
-def is_major(highway: Column) -> Column:
-    return F.coalesce(highway.isin(*MAJOR), F.lit(False))
+def tagged(rows: DataFrame, tag: str, names: tuple[str, ...], split: bool = False) -> Column:
+    """Whether a tag of ``rows``, a string or a list of strings, has one of the names in any case; with
+    ``split``, values may hold several, parted by semicolons."""
+
+    def named(value: Column) -> Column:
+        lower = F.lower(value.cast("string"))
+        return F.exists(F.split(lower, ";"), lambda v: F.trim(v).isin(*names)) if split else lower.isin(*names)
+
+    listed = isinstance(rows.schema[tag].dataType, T.ArrayType)
+    return F.coalesce(F.exists(F.col(f"`{tag}`"), named) if listed else named(F.col(f"`{tag}`")), F.lit(False))
+
+
+def is_trail(rows: DataFrame) -> Column:
+    return tagged(rows, "highway", TRAILS) | tagged(rows, "surface", UNPAVED)
+
+
+def is_major(rows: DataFrame) -> Column:
+    return tagged(rows, "highway", MAJOR)
+
+
+def is_signal(nodes: DataFrame) -> Column:
+    """Nodes with traffic signals, or crossings that are signalled by either tag; columns that ``nodes``
+    hasn't don't count."""
+    said = F.lit(False)
+    for tag, names in (("highway", ("traffic_signals",)), ("crossing", SIGNALLED), ("crossing:signals", ("yes",))):
+        if tag in nodes.columns:
+            said = said | tagged(nodes, tag, names, split=tag == "crossing")
+    return said
 
 
 #: Wishes that a cost is for.
@@ -31,7 +57,7 @@ SURFACES = ("road", "mixed", "trail")
 def _with_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     side = lambda end: nodes.select(F.col("node_id").alias(end), F.col("signal").alias(f"{end}_signal"), F.col("elevation").alias(f"{end}_elevation"))
     both = edges.join(side("u"), "u").join(side("v"), "v")
-    return both.withColumns({"major": is_major(F.col("highway")), "trail": is_trail(F.col("highway"), F.col("surface"))})
+    return both.withColumns({"major": is_major(both), "trail": is_trail(both)})
 
 
 def _cost(surface: Column, flat: Column) -> Column:
@@ -128,11 +154,10 @@ def bounded_reach(sources: DataFrame, edges: DataFrame, limit: float) -> DataFra
     while not fresh.isEmpty():
         moved = fresh.join(links, fresh.node_id == links.u).select("source", F.col("v").alias("node_id"), (F.col("metres") + F.col("step")).alias("metres"))
         moved = moved.filter(F.col("metres") <= limit).groupBy("source", "node_id").agg(F.min("metres").alias("metres"))
-        old = known.withColumnRenamed("metres", "before")
-        merged = moved.join(old, ["source", "node_id"], "full").checkpoint()
-        better = F.col("metres").isNotNull() & (F.col("before").isNull() | (F.col("metres") < F.col("before")))
-        fresh = merged.filter(better).select("source", "node_id", "metres")
-        known = merged.select("source", "node_id", F.when(better, F.col("metres")).otherwise(F.col("before")).alias("metres"))
+        both = known.select("source", "node_id", "metres", F.col("metres").alias("before")).unionByName(moved.withColumn("before", F.lit(None).cast("double")))
+        merged = both.groupBy("source", "node_id").agg(F.min("metres").alias("metres"), F.min("before").alias("before")).checkpoint()
+        fresh = merged.filter("before is null or metres < before").select("source", "node_id", "metres")
+        known = merged.select("source", "node_id", "metres")
     return known
 
 

@@ -159,11 +159,10 @@ def penalised_paths(pairs: DataFrame, links: DataFrame, used: DataFrame, factor:
         moved = moved.join(both.withColumnRenamed("u", "node_id"), ["pair", "node_id", "v"], "left").select("pair", F.col("v").alias("node_id"), (F.col("cost") + F.col("more") * F.coalesce("dear", F.lit(1))).alias("cost"))
         moved = moved.join(best, "pair", "left").filter("bound is null or cost <= bound").drop("bound")
         moved = _cheapest(moved if most is None else moved.filter(F.col("cost") <= most), ("pair", "node_id"))
-        old = known.withColumnRenamed("cost", "before")
-        merged = moved.join(old, ["pair", "node_id"], "full").checkpoint()
-        better = F.col("cost").isNotNull() & (F.col("before").isNull() | (F.col("cost") < F.col("before")))
-        fresh = merged.filter(better).select("pair", "node_id", "cost")
-        known = merged.select("pair", "node_id", F.when(better, F.col("cost")).otherwise(F.col("before")).alias("cost"))
+        both_known = known.select("pair", "node_id", "cost", F.col("cost").alias("before")).unionByName(moved.withColumn("before", F.lit(None).cast("long")))
+        merged = both_known.groupBy("pair", "node_id").agg(F.min("cost").alias("cost"), F.min("before").alias("before")).checkpoint()
+        fresh = merged.filter("before is null or cost < before").select("pair", "node_id", "cost")
+        known = merged.select("pair", "node_id", "cost")
     led = known.join(named.select("pair", *by), "pair").join(step, [*by, "node_id"])
     led = led.join(both.withColumnRenamed("u", "node_id"), ["pair", "node_id", "v"], "left")
     led = led.select("pair", F.col("v").alias("to"), (F.col("cost") + F.col("more") * F.coalesce("dear", F.lit(1))).alias("cost"), F.col("node_id").alias("parent"))

@@ -18,7 +18,7 @@ def _collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.collapse(costs)
 
 
-def _chosen_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def chosen_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The one edge per pair of ends that its cost chose, with its tags."""
     return t.edges(spark, sf_dir).join(_collapsed(spark, sf_dir).select("u", "v", "key"), ["u", "v", "key"])
 
@@ -46,7 +46,7 @@ def path_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch.checkpoints(spark)
     links = paths.cost_links(_collapsed(spark, sf_dir))
     costs, read = paths.cheapest_paths(_pairs(spark, sf_dir), links, LIMIT)
-    drawn = _drawn(read, _chosen_edges(spark, sf_dir), "source", "target")
+    drawn = _drawn(read, chosen_edges(spark, sf_dir), "source", "target")
     return drawn.join(costs, ["source", "target"]).select("source", "target", F.round(F.col("cost") / paths.UNIT, 3).alias("cost"), "metres", "hops", "nodes")
 
 
@@ -57,10 +57,10 @@ def separated_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     costs, read = paths.cheapest_paths(_pairs(spark, sf_dir), links, LIMIT)
     used = routes.steps(read.select(F.col("source").alias("route_id"), "pos", "node_id")).select(F.col("route_id").alias("pair"), "u", "v")
     back = costs.select(F.col("source").alias("pair"), F.col("target").alias("source"), F.col("source").alias("target"))
-    return _drawn(paths.penalised_paths(back, links, used), _chosen_edges(spark, sf_dir), "pair")
+    return _drawn(paths.penalised_paths(back, links, used), chosen_edges(spark, sf_dir), "pair")
 
 
-def _whole_routes(spark: SparkSession, sf_dir: str, edges: DataFrame) -> DataFrame:
+def whole_routes(spark: SparkSession, sf_dir: str, edges: DataFrame) -> DataFrame:
     """Nodes of the routes whose every step has an edge."""
     walked = t.route_nodes(spark, sf_dir)
     broken = routes.steps(walked).join(edges, ["u", "v"], "left_anti").select("route_id").distinct()
@@ -68,13 +68,13 @@ def _whole_routes(spark: SparkSession, sf_dir: str, edges: DataFrame) -> DataFra
 
 
 def _lined(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    return shapes.directed(t.road_names(edges).withColumn("major", network.is_major(F.col("highway"))), nodes)
+    return shapes.directed(t.road_names(edges).withColumn("major", network.is_major(edges)), nodes)
 
 
 def major_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch.checkpoints(spark)
-    nodes, edges = t.nodes(spark, sf_dir), _chosen_edges(spark, sf_dir)
-    return shapes.major_crossings(_whole_routes(spark, sf_dir, edges), _lined(edges, nodes), nodes)
+    nodes, edges = t.nodes(spark, sf_dir), chosen_edges(spark, sf_dir)
+    return shapes.major_crossings(whole_routes(spark, sf_dir, edges), _lined(edges, nodes), nodes)
 
 
 def doubled_back(spark: SparkSession, sf_dir: str) -> DataFrame:

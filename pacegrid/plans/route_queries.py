@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pacegrid import scratch
 from pacegrid.functions import geo
-from pacegrid.operators import elevation, exports, network, pools, reports, routes, scoring, selection
+from pacegrid.operators import elevation, exports, network, pools, reports, routes, scoring, selection, shapes
 from pacegrid.plans.street_queries import CELLS, EDGES, HAVERSINE, NODES, RANKED, REQUESTS, ROUTES
 from pacegrid.sources import street_tables as t
 
@@ -77,7 +77,8 @@ def route_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def route_compactness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return routes.compactness(_points(spark, sf_dir)).select("route_id", F.round("compactness", 4).alias("compactness"))
+    scratch.checkpoints(spark)
+    return shapes.compactness(_points(spark, sf_dir)).select("route_id", F.round("compactness", 4).alias("compactness"))
 
 
 def pool_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,7 +183,7 @@ profiled AS (SELECT s.route_id, e.length, e.highway IN ('path', 'footway') OR co
   FROM steps s JOIN best e USING (u, v) JOIN nodes a ON a.node_id = u JOIN nodes b ON b.node_id = v)
 SELECT route_id, round(sum(length), 2) AS metres, round(coalesce(sum(length) FILTER (trail), 0e0) / sum(length), 4) AS trail_share, round(coalesce(sum(rise) FILTER (rise > 0), 0e0), 2) AS gain,
 round(coalesce(sum(length) FILTER (rise IS NOT NULL), 0e0) / sum(length), 4) AS coverage FROM profiled GROUP BY route_id""",
-    "rte7_route_compactness": f"""WITH {POINTS}, based AS (SELECT *, avg(y) OVER (PARTITION BY route_id) AS ref, min(x) OVER (PARTITION BY route_id) AS x0, min(y) OVER (PARTITION BY route_id) AS y0 FROM points),
+    "rte7_route_compactness": f"""WITH {POINTS}, based AS (SELECT *, first_value(y) OVER (PARTITION BY route_id ORDER BY pos) AS ref, min(x) OVER (PARTITION BY route_id) AS x0, min(y) OVER (PARTITION BY route_id) AS y0 FROM points),
 flat AS (SELECT route_id, pos, (x - x0) * 111320e0 * cos(radians(ref)) AS e, (y - y0) * 110540e0 AS n FROM based),
 turned AS (SELECT *, coalesce(lead(e) OVER w, first_value(e) OVER w) AS e2, coalesce(lead(n) OVER w, first_value(n) OVER w) AS n2 FROM flat WINDOW w AS (PARTITION BY route_id ORDER BY pos))
 SELECT route_id, round(CASE WHEN count(*) < 4 THEN 0e0 ELSE least(1e0, 4 * pi() * abs(sum(e * n2 - e2 * n)) / 2 / pow(sum(sqrt((e2 - e) * (e2 - e) + (n2 - n) * (n2 - n))), 2)) END, 4) AS compactness FROM turned GROUP BY route_id""",

@@ -92,6 +92,27 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def loop_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(request_id, origin, lat, lon, target, tolerance, wanted, surface, climb): loops asked for at nodes."""
+    count = nodes(spark, sf_dir).agg(F.count("*").alias("count"))
+    s = F.col("s_suppkey").cast("long")
+    k = (s * 37) % F.col("count")
+    return table(spark, sf_dir, "supplier").crossJoin(F.broadcast(count)).select(
+        s.alias("request_id"), k.alias("origin"), (38.0 + F.floor(k / WIDTH) * 0.0013).alias("lat"), (-78.5 + (k % WIDTH) * 0.0017).alias("lon"), (1.0 + s % 2 * 0.5).alias("target"),
+        F.lit(0.25).alias("tolerance"), F.lit(3).alias("wanted"), F.lit("mixed").alias("surface"), F.lit("balanced").alias("climb"),
+    )
+
+
+def metro_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(metro, ring, pos, y, x): an L-shaped boundary for each supplier."""
+    s = F.col("s_suppkey").cast("long")
+    shaped = table(spark, sf_dir, "supplier").select(s.alias("metro"), (30.0 + s % 40 * 0.5).alias("y0"), (-120.0 + s % 97 * 0.5).alias("x0"), (0.03 + s % 5 * 0.013).alias("w"), (0.027 + s % 3 * 0.017).alias("h"))
+    corner = lambda up, across: F.struct(F.lit(up).alias("up"), F.lit(across).alias("across"))
+    corners = F.array(corner(0.0, 0.0), corner(0.0, 1.0), corner(0.5, 1.0), corner(0.5, 0.5), corner(1.0, 0.5), corner(1.0, 0.0))
+    each = shaped.select("metro", "y0", "x0", "w", "h", F.posexplode(corners).alias("pos", "at"))
+    return each.select("metro", F.lit(0).alias("ring"), "pos", (F.col("y0") + F.col("at.up") * F.col("h")).alias("y"), (F.col("x0") + F.col("at.across") * F.col("w")).alias("x"))
+
+
 def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(tile, lat, lon, reach): discs around nodes."""
     count = nodes(spark, sf_dir).agg(F.count("*").alias("count"))

@@ -4,7 +4,8 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from pacegrid.operators import elevation, exports, network, pools, reports, routes, selection
+from pacegrid import scratch
+from pacegrid.operators import elevation, exports, network, pools, reports, routes, selection, shapes
 
 
 def test_greedy_choice_equals_a_plain_loop(spark):
@@ -113,13 +114,6 @@ def test_bilinear_clamps_and_skips_unknown_corners(spark):
     assert {r.id: r.elevation for r in elevation.bilinear(points, raster, "id").collect()} == {1: 15.0, 2: 0.0, 3: None, 4: 20.0}
 
 
-def test_compactness(spark):
-    square = [(1, i, y, x) for i, (y, x) in enumerate([(0.0, 0.0), (0.0, 0.001), (0.001, 0.001), (0.001, 0.0), (0.0, 0.0)])]
-    line = [(2, 0, 0.0, 0.0), (2, 1, 0.0, 0.1), (2, 2, 0.0, 0.0)]
-    found = {r.route_id: r.compactness for r in routes.compactness(spark.createDataFrame(square + line, "route_id long, pos long, y double, x double")).collect()}
-    assert found[1] == pytest.approx(0.7854, abs=1e-3) and found[2] == 0
-
-
 def test_audit(spark):
     nodes = [(1, p, n) for p, n in enumerate([1, 2, 3, 1])] + [(2, p, n) for p, n in enumerate([1, 2, 1])] + [(3, p, n) for p, n in enumerate([1, 2, 9, 3])]
     walked = spark.createDataFrame(nodes, "route_id long, pos long, node_id long")
@@ -162,3 +156,11 @@ def test_crop_and_origins(spark):
     kept, inner = network.crop(nodes, edges, 0.0, 0.0, 500.0)
     assert kept.count() == 2 and [(r.u, r.v) for r in inner.collect()] == [(1, 2)]
     assert [r.node_id for r in network.cell_origins(nodes).orderBy(F.col("node_id")).collect()] == [2, 3]
+
+
+def test_compactness(spark):
+    scratch.checkpoints(spark)
+    square = [(1, i, y, x) for i, (y, x) in enumerate([(0.0, 0.0), (0.0, 0.001), (0.001, 0.001), (0.001, 0.0), (0.0, 0.0)])]
+    line = [(2, 0, 0.0, 0.0), (2, 1, 0.0, 0.1), (2, 2, 0.0, 0.0)]
+    found = {r.route_id: r.compactness for r in shapes.compactness(spark.createDataFrame(square + line, "route_id long, pos long, y double, x double")).collect()}
+    assert found[1] == pytest.approx(0.7854, abs=1e-3) and found[2] == 0
