@@ -65,14 +65,34 @@ def exact_groups(keyed: DataFrame) -> DataFrame:
     )
 
 
+def survivors(docs: DataFrame, id_col: str, text_col: str) -> DataFrame | None:
+    """(rid, doc_id, size, prefix, text_sha256) of the rows whose length and prefix hash occur again, and
+    of no others: only their texts are hashed in full. None where these pairs are too many to be
+    broadcast, for then the texts themselves would have to be shuffled."""
+    norm = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm"))
+    sized = norm.withColumns({"size": F.length("norm"), "prefix": F.xxhash64(F.substring("norm", 1, PREFIX_CHARS))})
+    again = sized.groupBy("size", "prefix").agg(F.count("*").alias("__rows")).filter(F.col("__rows") > 1)
+    again = common.written(again.select("size", "prefix"), "dedup-again")
+    # A row of two numbers takes 32 bytes there.
+    if again.count() * 32 > common.BROADCAST_BYTES:
+        common.discard(again)
+        return None
+    rows = sized.join(F.broadcast(again), ["size", "prefix"], "left_semi")
+    keyed = rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "size", "prefix", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"))
+    return common.written(keyed, "dedup-survivors")
+
+
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    Rows are told apart by id and full hash. Only where a row that stays repeats in both are the
-    rows written once more with numbers, and told apart by these. What is known of dropped rows is
-    broadcast where its bytes allow; beyond, that join shuffles the rows once.
+    Rows are told apart by id and full hash, and a full hash is only taken where length and prefix
+    hash occur again. Only where a row that stays repeats in both are the rows written once more with
+    numbers, and told apart by these. What is known of dropped rows is broadcast where its bytes
+    allow; beyond, that join shuffles the rows once.
     """
-    result = common.written(exact_groups(keys(docs, id_col, text_col)), "dedup-result")
+    keyed = survivors(docs, id_col, text_col)
+    keyed = keys(docs, id_col, text_col) if keyed is None else keyed
+    result = common.written(exact_groups(keyed), "dedup-result")
     kept = result.filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
     same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_sha256") == F.col("kept_sha"))
     dropped = result.filter("not kept")
@@ -81,12 +101,19 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         gone = exact_groups(keys(rows, id_col, text_col, row)).filter("not kept").select(F.col("rid").alias(row))
         gone = common.checked_broadcast(common.written(gone, "dedup-gone"))
         return rows.join(gone, row, "left_anti").select(*docs.columns)
-    id_name, sha_name = common.fresh(docs, "__id"), common.fresh(docs, "__sha")
-    gone = dropped.select(F.col("doc_id").alias(id_name), F.col("text_sha256").alias(sha_name)).distinct()
+    # Names as of no column of docs; lengths and prefix hashes keep rows without an id apart.
+    named = [common.fresh(docs, f"__{c}") for c in ("id", "size", "prefix", "sha")]
+    gone = dropped.select("rid", "doc_id", "text_sha256").join(keyed.select("rid", "size", "prefix"), "rid")
+    gone = gone.select(*(F.col(c).alias(n) for c, n in zip(("doc_id", "size", "prefix", "text_sha256"), named, strict=True))).distinct()
     gone = common.checked_broadcast(common.written(gone, "dedup-gone"))
-    own = common.fresh(docs, "__own")
-    hashed = docs.withColumn(own, F.sha2(normalised(F.col(text_col)).cast("binary"), 256))
-    return hashed.join(gone, hashed[id_col].eqNullSafe(gone[id_name]) & (hashed[own] == gone[sha_name]), "left_anti").select(*docs.columns)
+    common.discard(keyed), common.discard(result)
+    own = normalised(F.col(text_col))
+    length, prefix = common.fresh(docs, "__length"), common.fresh(docs, "__start")
+    sized = docs.withColumns({length: F.length(own), prefix: F.xxhash64(F.substring(own, 1, PREFIX_CHARS))})
+    met = sized[id_col].eqNullSafe(gone[named[0]]) & (sized[length] == gone[named[1]]) & (sized[prefix] == gone[named[2]])
+    # Not an equality that the join could take as a key: only rows that meet by the others are hashed.
+    met = met & F.array_contains(F.array(gone[named[3]]), F.sha2(own.cast("binary"), 256))
+    return sized.join(gone, met, "left_anti").select(*docs.columns)
 
 
 def op10_exact_dedup(spark, sf_dir: str) -> DataFrame:
