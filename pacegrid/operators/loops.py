@@ -13,6 +13,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from pacegrid import scratch
 from pacegrid.functions import geo
 from pacegrid.operators import measures, network, paths, scoring
 
@@ -61,11 +62,11 @@ def waypoints(attempts: DataFrame, requests: DataFrame, nodes: DataFrame) -> Dat
     asked = attempts.join(requests.select("request_id", "origin", "lat", "lon", "target"), "request_id")
     asked = asked.withColumn("radius", F.col("target") * geo.MILE / 3.0 * F.col("scale")).withColumn("turn", F.explode(F.array(F.lit(-1), F.lit(1))))
     lat, lon = geo.destination(F.col("lat"), F.col("lon"), F.col("heading") + F.col("turn") * F.col("sweep") / 2, F.col("radius"))
-    points = asked.select("request_id", "attempt", "turn", lat.alias("lat"), lon.alias("lon")).withColumn("point", F.concat_ws(":", "request_id", "attempt", "turn")).checkpoint()
+    points = asked.select("request_id", "attempt", "turn", lat.alias("lat"), lon.alias("lon")).withColumn("point", F.concat_ws(":", "request_id", "attempt", "turn")).transform(scratch.kept)
     near = network.nearest_nodes(points.select("point", "lat", "lon"), nodes, "point").select("point", "node_id")
     met = points.join(near, "point").groupBy("request_id", "attempt").agg(F.max(F.when(F.col("turn") < 0, F.col("node_id"))).alias("first"), F.max(F.when(F.col("turn") > 0, F.col("node_id"))).alias("second"))
     whole = attempts.join(met, ["request_id", "attempt"]).join(requests.select("request_id", "origin"), "request_id")
-    return whole.filter("first <> second and first <> origin and second <> origin").checkpoint()
+    return whole.filter("first <> second and first <> origin and second <> origin").transform(scratch.kept)
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -90,7 +91,7 @@ class Network:
     the shortcuts of both directions, made once."""
 
     def __init__(self, nodes: DataFrame, edges: DataFrame, links: DataFrame):
-        self.nodes, self.edges, self.links = nodes.checkpoint(), edges.checkpoint(), links.checkpoint()
+        self.nodes, self.edges, self.links = nodes.transform(scratch.kept), edges.transform(scratch.kept), links.transform(scratch.kept)
         self.turned = paths.turned(self.links)
         width = paths.units(paths.WIDTH)
         self.near = paths.shortcuts(self.links, width)
@@ -105,7 +106,7 @@ def legs(triples: DataFrame, on: Network, limit: float) -> DataFrame:
     home, back = paths.cheapest_paths(pair("origin", "second").distinct(), on.turned, limit, near=on.near_turned)
     found = lambda costs, a, b: costs.select(F.col("source").alias(a), F.col("target").alias(b))
     whole = triples.join(found(ahead, "origin", "first"), ["origin", "first"], "left_semi").join(found(ahead, "first", "second"), ["first", "second"], "left_semi").join(found(home, "origin", "second"), ["origin", "second"], "left_semi")
-    whole, out, back = whole.select("origin", "first", "second").distinct().checkpoint(), out.checkpoint(), back.checkpoint()
+    whole, out, back = whole.select("origin", "first", "second").distinct().transform(scratch.kept), out.transform(scratch.kept), back.transform(scratch.kept)
     lay = lambda read, a, b: read.select(F.col("source").alias(a), F.col("target").alias(b), "pos", "node_id")
     one = whole.join(lay(out, "origin", "first"), ["origin", "first"]).withColumn("leg", F.lit(0))
     two = whole.join(lay(out, "first", "second"), ["first", "second"]).withColumn("leg", F.lit(1))
@@ -130,11 +131,11 @@ def as_routes(loops: DataFrame) -> DataFrame:
 
 def measured_loops(attempts: DataFrame, on: Network, limit: float) -> tuple[DataFrame, DataFrame]:
     """``attempts`` with the measures and nodes of their loops, and the legs of their triples. Checkpointed."""
-    triples = attempts.select("origin", "first", "second").distinct().checkpoint()
-    laid = legs(triples, on, limit).checkpoint()
-    loops = joined(laid, "origin", "first", "second").withColumn("route_id", F.monotonically_increasing_id()).checkpoint()
+    triples = attempts.select("origin", "first", "second").distinct().transform(scratch.kept)
+    laid = legs(triples, on, limit).transform(scratch.kept)
+    loops = joined(laid, "origin", "first", "second").withColumn("route_id", F.monotonically_increasing_id()).transform(scratch.kept)
     found = loops.join(measures.measure(as_routes(loops), on.edges, on.nodes), "route_id").drop("route_id")
-    return attempts.join(found, ["origin", "first", "second"]).checkpoint(), laid
+    return attempts.join(found, ["origin", "first", "second"]).transform(scratch.kept), laid
 
 
 def _fits(requests: DataFrame, loops: DataFrame) -> DataFrame:
@@ -169,26 +170,26 @@ def distinct_loops(ranked: DataFrame, edges: DataFrame, most: DataFrame) -> Data
         return pd.DataFrame(out, columns=["request_id", "attempt", "place"])
 
     kind = ranked.schema["request_id"].dataType.simpleString()
-    return streets.groupBy("request_id").applyInPandas(choose, f"request_id {kind}, attempt int, place int").checkpoint()
+    return streets.groupBy("request_id").applyInPandas(choose, f"request_id {kind}, attempt int, place int").transform(scratch.kept)
 
 
 def ways_home(shortlist: DataFrame, laid: DataFrame, on: Network) -> DataFrame:
     """Loops of the shortlist that repeat or are thin, with another way home: the cheapest where streets
     that led out are dearer, if it is another. The search has no bound but the way found so far."""
     bent = shortlist.filter((F.col("repeated") >= REPEATING) | (F.col("compactness") < scoring.ROUND_ENOUGH))
-    triples = bent.select("origin", "first", "second").distinct().withColumn("pair", F.monotonically_increasing_id()).checkpoint()
-    named = laid.join(triples, ["origin", "first", "second"]).checkpoint()
+    triples = bent.select("origin", "first", "second").distinct().withColumn("pair", F.monotonically_increasing_id()).transform(scratch.kept)
+    named = laid.join(triples, ["origin", "first", "second"]).transform(scratch.kept)
     out = joined_steps(named.filter("leg < 2"), "pair")
     back = paths.penalised_paths(triples.select("pair", F.col("second").alias("source"), F.col("origin").alias("target")), on.links, out, DEARER)
-    back = back.select("pair", F.lit(2).alias("leg"), "pos", "node_id").checkpoint()
+    back = back.select("pair", F.lit(2).alias("leg"), "pos", "node_id").transform(scratch.kept)
     line = lambda rows: rows.groupBy("pair").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "node_id"))), lambda s: s["node_id"]).alias("line"))
     same = line(back).join(line(named.filter("leg = 2")), ["pair", "line"], "left_semi").select("pair")
     other = back.join(same, "pair", "left_anti")
     loops = joined(named.filter("leg < 2").select("pair", "leg", "pos", "node_id").join(other.select("pair").distinct(), "pair", "left_semi").unionByName(other), "pair")
-    loops = loops.withColumnRenamed("pair", "route_id").checkpoint()
+    loops = loops.withColumnRenamed("pair", "route_id").transform(scratch.kept)
     found = loops.join(measures.measure(as_routes(loops), on.edges, on.nodes), "route_id").withColumnRenamed("route_id", "pair").join(triples, "pair").drop("pair")
     again = bent.select("request_id", "attempt", "scale", "heading", "sweep", "origin", "first", "second")
-    return again.withColumn("attempt", F.col("attempt") + HOME).join(found, ["origin", "first", "second"]).checkpoint()
+    return again.withColumn("attempt", F.col("attempt") + HOME).join(found, ["origin", "first", "second"]).transform(scratch.kept)
 
 
 def joined_steps(rows: DataFrame, by: str) -> DataFrame:
@@ -203,7 +204,7 @@ def generate(requests: DataFrame, on: Network, longest: float, scales: tuple[flo
     climb): the request's distinct ones in order of rank, ``wanted`` of them or, for a pool, up to
     ``pool_size`` that don't double back. ``longest`` is the largest target in miles: searches go so far
     at first. Rounds are checkpointed."""
-    requests, limit = requests.checkpoint(), longest * geo.MILE * SEARCH
+    requests, limit = requests.transform(scratch.kept), longest * geo.MILE * SEARCH
     wanted = lambda times, least=0: requests.select("request_id", F.greatest(F.col("wanted") * times, F.lit(least)).alias("most"))
     loops, laid = measured_loops(waypoints(first_attempts(requests, scales), requests, on.nodes), on, limit)
     asked = requests.select("request_id", "target", "tolerance")
@@ -211,24 +212,24 @@ def generate(requests: DataFrame, on: Network, longest: float, scales: tuple[flo
     closest = closest.select("request_id", "heading", "sweep", "best.*")
     fits = _fits(requests, loops)
     sound = fits.filter((F.abs(F.col("miles") - F.col("target")) <= F.col("tolerance")) & (F.col("compactness") >= scoring.LEAST_COMPACT))
-    ranked = scoring.rank(sound).checkpoint()
+    ranked = scoring.rank(sound).transform(scratch.kept)
     counts = distinct_loops(ranked, on.edges, wanted(1)).groupBy("request_id").agg(F.count("*").alias("found"))
     state = requests.select("request_id", "wanted", "tolerance").join(counts, "request_id", "left").join(ranked.filter("rank = 1").select("request_id", "error"), "request_id", "left")
-    state = state.select("request_id", (F.coalesce("found", F.lit(0)) < F.col("wanted")).alias("few"), (F.col("error") > BEST_OFF * F.col("tolerance")).alias("off")).checkpoint()
+    state = state.select("request_id", (F.coalesce("found", F.lit(0)) < F.col("wanted")).alias("few"), (F.col("error") > BEST_OFF * F.col("tolerance")).alias("off")).transform(scratch.kept)
     few, off = state.filter("few").select("request_id"), state.filter("not few and off").select("request_id")
     more, more_laid = measured_loops(waypoints(second_attempts(closest, few, off), requests, on.nodes), on, limit)
     loops, laid = loops.unionByName(more), laid.unionByName(more_laid).distinct()
-    ranked = scoring.rank(_fits(requests, loops)).checkpoint()
+    ranked = scoring.rank(_fits(requests, loops)).transform(scratch.kept)
     shortlist = ranked.join(distinct_loops(ranked, on.edges, wanted(2)).select("request_id", "attempt"), ["request_id", "attempt"], "left_semi")
-    loops = loops.unionByName(ways_home(shortlist.checkpoint(), laid, on))
+    loops = loops.unionByName(ways_home(shortlist.transform(scratch.kept), laid, on))
     fits = _fits(requests, loops)
     if pool_size is not None:
         fits = fits.filter(F.col("repeated") <= scoring.MOST_REPEATED)
-    ranked = scoring.rank(fits).checkpoint()
+    ranked = scoring.rank(fits).transform(scratch.kept)
     size = wanted(POOL_PER, POOL) if pool_size is None else wanted(0, pool_size)
     chosen = distinct_loops(ranked, on.edges, size)
     if pool_size is None:
         pool = ranked.join(chosen.select("request_id", "attempt"), ["request_id", "attempt"], "left_semi").drop("error", "score", "awkward", "rank")
-        ranked = scoring.rank(pool).checkpoint()
+        ranked = scoring.rank(pool).transform(scratch.kept)
         chosen = distinct_loops(ranked, on.edges, wanted(1))
     return ranked.join(chosen, ["request_id", "attempt"])

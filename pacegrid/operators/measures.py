@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from pacegrid import scratch
 from pacegrid.functions import geo
 from pacegrid.operators import network, routes, shapes
 
@@ -16,10 +17,10 @@ def measure(route_nodes: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataF
     (route_id, pos, node_id). ``edges`` has one edge per pair of ends (u, v, length, highway, surface,
     names); a step without one has no length. Gain is in feet; what is walked again counts by street or
     by running back beside an earlier part, whichever is more. Checkpointed."""
-    walked = route_nodes.select("route_id", "pos", "node_id").checkpoint()
+    walked = route_nodes.select("route_id", "pos", "node_id").transform(scratch.kept)
     steps = routes.steps(walked)
     measured = routes.measured_steps(steps, edges.withColumn("key", F.lit(0)))
-    points = walked.join(nodes.select("node_id", "y", "x"), "node_id").checkpoint()
+    points = walked.join(nodes.select("node_id", "y", "x"), "node_id").transform(scratch.kept)
     lined = shapes.directed(edges.withColumn("major", network.is_major(edges)), nodes)
     crossings = shapes.major_crossings(walked, lined, nodes).groupBy("route_id").agg(F.count("*").alias("crossings"))
     parts = [
@@ -45,4 +46,4 @@ def measure(route_nodes: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataF
         F.greatest(none(F.try_divide("repeated_metres", "metres")), none(F.col("doubled"))).alias("repeated"),
         none(F.col("coverage")).alias("coverage"),
         none(F.col("compactness")).alias("compactness"),
-    ).checkpoint()
+    ).transform(scratch.kept)

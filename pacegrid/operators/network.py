@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from pacegrid import scratch
 from pacegrid.functions import geo
 
 #: Highways that are trails or major roads, unpaved surfaces, costs in metres.
@@ -124,9 +125,9 @@ def nearest_nodes(points: DataFrame, nodes: DataFrame, key: str, cells: tuple[fl
         found = _nearest_within(left, nodes, key, cell)
         if place < len(cells) - 1:
             found = found.filter(F.col("metres") <= cell)
-        found = found.checkpoint()
+        found = found.transform(scratch.kept)
         out = found if out is None else out.unionByName(found)
-        left = left.join(found.select(key), key, "left_anti").checkpoint()
+        left = left.join(found.select(key), key, "left_anti").transform(scratch.kept)
         if left.isEmpty():
             break
     return out
@@ -149,13 +150,13 @@ def bounded_reach(sources: DataFrame, edges: DataFrame, limit: float) -> DataFra
     """(source, node_id, metres) of all nodes within ``limit`` metres of walking. Each round
     relaxes only what the last one improved; rounds end when nothing is nearer than before."""
     links = edges.groupBy("u", "v").agg(F.min(F.coalesce("length", F.lit(1.0))).alias("step"))
-    known = sources.select("source", F.col("source").alias("node_id"), F.lit(0.0).alias("metres")).checkpoint()
+    known = sources.select("source", F.col("source").alias("node_id"), F.lit(0.0).alias("metres")).transform(scratch.kept)
     fresh = known
     while not fresh.isEmpty():
         moved = fresh.join(links, fresh.node_id == links.u).select("source", F.col("v").alias("node_id"), (F.col("metres") + F.col("step")).alias("metres"))
         moved = moved.filter(F.col("metres") <= limit).groupBy("source", "node_id").agg(F.min("metres").alias("metres"))
         both = known.select("source", "node_id", "metres", F.col("metres").alias("before")).unionByName(moved.withColumn("before", F.lit(None).cast("double")))
-        merged = both.groupBy("source", "node_id").agg(F.min("metres").alias("metres"), F.min("before").alias("before")).checkpoint()
+        merged = both.groupBy("source", "node_id").agg(F.min("metres").alias("metres"), F.min("before").alias("before")).transform(scratch.kept)
         fresh = merged.filter("before is null or metres < before").select("source", "node_id", "metres")
         known = merged.select("source", "node_id", "metres")
     return known

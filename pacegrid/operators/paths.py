@@ -14,6 +14,7 @@ as well. Rounds are checkpointed.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
+from pacegrid import scratch
 
 #: Parts of a metre that costs count in; width of a bucket in metres of cost.
 UNIT, WIDTH = 1_000_000, 500.0
@@ -44,14 +45,14 @@ def _cheapest(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
 def shortcuts(links: DataFrame, width: int, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, u, v, cost) of all pairs of nodes that links of at most ``width`` in all lead between."""
     ends = (*by, "u", "v")
-    known = _cheapest(links.filter((F.col("cost") <= width) & (F.col("u") != F.col("v"))), ends).checkpoint()
+    known = _cheapest(links.filter((F.col("cost") <= width) & (F.col("u") != F.col("v"))), ends).transform(scratch.kept)
     state = None
     while (now := known.agg(F.count("*"), F.sum("cost")).first()) != state:
         state = now
         onward = known.select(*by, F.col("u").alias("middle"), F.col("v").alias("far"), F.col("cost").alias("more"))
         longer = known.withColumnRenamed("v", "middle").join(onward, [*by, "middle"]).select(*by, "u", F.col("far").alias("v"), (F.col("cost") + F.col("more")).alias("cost"))
         longer = longer.filter((F.col("cost") <= width) & (F.col("u") != F.col("v")))
-        known = _cheapest(known.unionByName(longer), ends).checkpoint()
+        known = _cheapest(known.unionByName(longer), ends).transform(scratch.kept)
     return known
 
 
@@ -68,24 +69,24 @@ def trees(sources: DataFrame, links: DataFrame, limit: float | None = None, targ
     most = None if limit is None else units(limit)
     near = shortcuts(links, step, by) if near is None else near
     at, of = (*by, "source", "node_id"), (*by, "source")
-    open_ = sources.select(*of).distinct().withColumn("node_id", F.col("source")).withColumn("cost", F.lit(0).cast("long")).checkpoint()
+    open_ = sources.select(*of).distinct().withColumn("node_id", F.col("source")).withColumn("cost", F.lit(0).cast("long")).transform(scratch.kept)
     found, done, parts = None, open_.limit(0).select(*at), 0
-    wanted = None if targets is None else targets.select(*of, F.col("target").alias("node_id")).distinct().checkpoint()
+    wanted = None if targets is None else targets.select(*of, F.col("target").alias("node_id")).distinct().transform(scratch.kept)
     while (least := open_.agg(F.min("cost")).first()[0]) is not None:
         high = (least // step + 1) * step
         within = F.col("cost") < high
         first = open_.filter(within)
         inside = _relaxed(first, near, by).filter(within if most is None else within & (F.col("cost") <= most))
-        now = _cheapest(first.unionByName(inside), at).join(done, [*at], "left_anti").checkpoint()
+        now = _cheapest(first.unionByName(inside), at).join(done, [*at], "left_anti").transform(scratch.kept)
         found, parts, going = now if found is None else found.unionByName(now), parts + 1, now
         done = found.select(*at)
         if wanted is not None:
             left = wanted.join(done, [*at], "left_anti").select(*of).distinct()
             going, open_ = now.join(left, [*of], "left_semi"), open_.join(left, [*of], "left_semi")
         onward = _relaxed(going, links, by).filter(~within if most is None else ~within & (F.col("cost") <= most))
-        open_ = _cheapest(open_.filter(~within).unionByName(onward), at).join(done, [*at], "left_anti").checkpoint()
+        open_ = _cheapest(open_.filter(~within).unionByName(onward), at).join(done, [*at], "left_anti").transform(scratch.kept)
         if parts % PARTS == 0:
-            found = found.checkpoint()
+            found = found.transform(scratch.kept)
             done = found.select(*at)
     return open_ if found is None else found
 
@@ -105,18 +106,18 @@ def read_paths(pairs: DataFrame, parents: DataFrame, by: tuple[str, ...] = (), r
     whose target isn't in the source's tree have no rows. ``root`` is the column with the tree's first
     node where ``source`` is only its name."""
     of = [*by, "source"]
-    jumps = [parents.select(*of, "node_id", F.col("parent").alias("to")).checkpoint()]
+    jumps = [parents.select(*of, "node_id", F.col("parent").alias("to")).transform(scratch.kept)]
     while not jumps[-1].isEmpty():
         last = jumps[-1]
         on = last.select(*of, F.col("node_id").alias("to"), F.col("to").alias("next"))
-        jumps.append(last.join(on, [*of, "to"]).select(*of, "node_id", F.col("next").alias("to")).checkpoint())
+        jumps.append(last.join(on, [*of, "to"]).select(*of, "node_id", F.col("next").alias("to")).transform(scratch.kept))
     alone = pairs.filter(F.col(root) == F.col("target")).select(*of, "target").distinct()
     inside = pairs.filter(F.col(root) != F.col("target")).select(*of, "target").distinct()
     inside = inside.join(parents.select(*of, F.col("node_id").alias("target")), [*of, "target"], "left_semi")
-    rows = inside.unionByName(alone).withColumn("node_id", F.col("target")).withColumn("back", F.lit(0)).checkpoint()
+    rows = inside.unionByName(alone).withColumn("node_id", F.col("target")).withColumn("back", F.lit(0)).transform(scratch.kept)
     for power in range(len(jumps) - 2, -1, -1):
         before = rows.join(jumps[power], [*of, "node_id"]).select(*of, "target", F.col("to").alias("node_id"), (F.col("back") + (1 << power)).alias("back"))
-        rows = rows.unionByName(before).checkpoint()
+        rows = rows.unionByName(before).transform(scratch.kept)
     whole = Window.partitionBy(*of, "target")
     return rows.select(*of, "target", (F.max("back").over(whole) - F.col("back")).cast("long").alias("pos"), "node_id")
 
@@ -125,15 +126,15 @@ def cheapest_paths(pairs: DataFrame, links: DataFrame, limit: float, by: tuple[s
     """Costs (by, source, target, cost) and paths (by, source, target, pos, node_id) of pairs. The
     limit only saves work: sources with a target beyond it are searched once more without one, and
     pairs that no path leads between have no rows."""
-    links = links.checkpoint()
+    links = links.transform(scratch.kept)
     near = shortcuts(links, units(width), by) if near is None else near
-    pairs = pairs.select(*by, "source", "target").distinct().checkpoint()
-    tree = trees(pairs, links, limit, pairs, by, width, near).checkpoint()
+    pairs = pairs.select(*by, "source", "target").distinct().transform(scratch.kept)
+    tree = trees(pairs, links, limit, pairs, by, width, near).transform(scratch.kept)
     reached = tree.select(*by, "source", F.col("node_id").alias("target"), "cost")
-    left = pairs.join(reached, [*by, "source", "target"], "left_anti").checkpoint()
+    left = pairs.join(reached, [*by, "source", "target"], "left_anti").transform(scratch.kept)
     if not left.isEmpty():
         again = trees(left, links, None, left, by, width, near)
-        tree = _cheapest(tree.unionByName(again), (*by, "source", "node_id")).checkpoint()
+        tree = _cheapest(tree.unionByName(again), (*by, "source", "node_id")).transform(scratch.kept)
         reached = tree.select(*by, "source", F.col("node_id").alias("target"), "cost")
     costs = pairs.join(reached, [*by, "source", "target"])
     return costs, read_paths(costs, predecessors(tree, links, by), by)
@@ -147,11 +148,11 @@ def penalised_paths(pairs: DataFrame, links: DataFrame, used: DataFrame, factor:
     Shortcuts don't hold under a pair's own costs, so every round relaxes what the last one improved by
     single links; what costs more than the target's best so far isn't followed."""
     both = used.select("pair", "u", "v").unionByName(used.select("pair", F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    both = both.withColumn("dear", F.lit(factor)).checkpoint()
+    both = both.withColumn("dear", F.lit(factor)).transform(scratch.kept)
     step = links.select(*by, F.col("u").alias("node_id"), "v", F.col("cost").alias("more"))
     named = pairs.select("pair", *by, "target")
     most = None if limit is None else units(limit)
-    known = pairs.select("pair", F.col("source").alias("node_id"), F.lit(0).cast("long").alias("cost")).checkpoint()
+    known = pairs.select("pair", F.col("source").alias("node_id"), F.lit(0).cast("long").alias("cost")).transform(scratch.kept)
     fresh = known
     while not fresh.isEmpty():
         best = named.join(known, "pair").filter("node_id = target").select("pair", F.col("cost").alias("bound"))
@@ -160,7 +161,7 @@ def penalised_paths(pairs: DataFrame, links: DataFrame, used: DataFrame, factor:
         moved = moved.join(best, "pair", "left").filter("bound is null or cost <= bound").drop("bound")
         moved = _cheapest(moved if most is None else moved.filter(F.col("cost") <= most), ("pair", "node_id"))
         both_known = known.select("pair", "node_id", "cost", F.col("cost").alias("before")).unionByName(moved.withColumn("before", F.lit(None).cast("long")))
-        merged = both_known.groupBy("pair", "node_id").agg(F.min("cost").alias("cost"), F.min("before").alias("before")).checkpoint()
+        merged = both_known.groupBy("pair", "node_id").agg(F.min("cost").alias("cost"), F.min("before").alias("before")).transform(scratch.kept)
         fresh = merged.filter("before is null or cost < before").select("pair", "node_id", "cost")
         known = merged.select("pair", "node_id", "cost")
     led = known.join(named.select("pair", *by), "pair").join(step, [*by, "node_id"])

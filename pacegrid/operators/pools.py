@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from pacegrid import scratch
 from pacegrid.functions import geo
 from pacegrid.operators import network
 
@@ -57,6 +58,6 @@ def serve(requests: DataFrame, nodes: DataFrame, edges: DataFrame, loops: DataFr
         fits = F.abs(F.col("metres") - F.col("target_miles") * geo.MILE) <= BAND
         return found.filter(fits).select("request_id", F.lit(label).alias("retry"), "route_id", "pos", "connector", "metres")
 
-    first = answers(requests, near, CONNECTOR, "none").checkpoint()
+    first = answers(requests, near, CONNECTOR, "none").transform(scratch.kept)
     open_ = requests.join(first.select("request_id").distinct(), "request_id", "left_anti")
     return first.unionByName(answers(open_, wide, WIDER, "wider"))

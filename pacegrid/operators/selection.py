@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from pacegrid import scratch
 from pacegrid.operators import routes
 
 
@@ -36,16 +37,16 @@ def first_of_close(queue: DataFrame, close: DataFrame, group: str, item: str) ->
     was taken. ``queue`` has (group, item), ``close`` (a, b) of items with a < b. Each round takes all
     items with no smaller close one still open, so rounds are as many as the longest chain of close
     items in falling order; no group is collected. Rounds are checkpointed."""
-    open_ = queue.select(group, item).distinct().checkpoint()
+    open_ = queue.select(group, item).distinct().transform(scratch.kept)
     ends = lambda rows, a: rows.select(group, F.col(item).alias(a))
-    against = ends(open_, "a").join(close.select("a", "b"), "a").join(ends(open_, "b"), [group, "b"]).select(group, "a", "b").checkpoint()
+    against = ends(open_, "a").join(close.select("a", "b"), "a").join(ends(open_, "b"), [group, "b"]).select(group, "a", "b").transform(scratch.kept)
     taken = open_.limit(0)
     while not open_.isEmpty():
         held = against.join(ends(open_, "a"), [group, "a"], "left_semi").select(group, F.col("b").alias(item))
-        ready = open_.join(held, [group, item], "left_anti").checkpoint()
+        ready = open_.join(held, [group, item], "left_anti").transform(scratch.kept)
         gone = against.join(ends(ready, "a"), [group, "a"], "left_semi").select(group, F.col("b").alias(item))
         taken = taken.unionByName(ready)
-        open_ = open_.join(ready.unionByName(gone), [group, item], "left_anti").checkpoint()
+        open_ = open_.join(ready.unionByName(gone), [group, item], "left_anti").transform(scratch.kept)
     return taken
 
 
@@ -57,13 +58,13 @@ def distinct_by_streets(placed: DataFrame, streets: DataFrame, group: str, most:
     open_, taken = placed.select(group, "route_id", "place"), []
     for turn in range(1, most + 1):
         first = open_.groupBy(group).agg(F.min(F.struct("place", "route_id")).alias("first"))
-        leads = first.select(group, "first.route_id").checkpoint()
+        leads = first.select(group, "first.route_id").transform(scratch.kept)
         if leads.isEmpty():
             break
         taken.append(leads.withColumn("place", F.lit(turn).cast("long")))
         if turn < most:
             closed = routes.like_leads(streets, leads, group, least_share).unionByName(leads)
-            open_ = open_.join(closed, [group, "route_id"], "left_anti").checkpoint()
+            open_ = open_.join(closed, [group, "route_id"], "left_anti").transform(scratch.kept)
     out = taken[0] if taken else placed.select(group, "route_id", F.col("place").cast("long")).limit(0)
     for more in taken[1:]:
         out = out.unionByName(more)

@@ -11,6 +11,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from pacegrid import scratch
 from pacegrid.functions import geo
 
 #: Fixed values, metres: how far out a road's direction is read; crossings of branches of one node, of
@@ -108,8 +109,8 @@ def major_crossings(route_nodes: DataFrame, lined: DataFrame, nodes: DataFrame)
     one doesn't count that follows the last counted one within a junction, or on the same road at
     the same place. A route's few changes are folded in one row. The edges' directions, read three
     times, are checkpointed."""
-    lined = lined.select("u", "v", "length", "major", "names", "leaving", "arrived").checkpoint()
-    changes = changes_of_side(passed_nodes(route_nodes, lined).checkpoint(), major_branches(lined)).checkpoint().join(nodes.select("node_id", "y", "x"), "node_id")
+    lined = lined.select("u", "v", "length", "major", "names", "leaving", "arrived").transform(scratch.kept)
+    changes = changes_of_side(passed_nodes(route_nodes, lined).transform(scratch.kept), major_branches(lined)).transform(scratch.kept).join(nodes.select("node_id", "y", "x"), "node_id")
     names = F.array_distinct(F.flatten(F.transform("branches", lambda b: b["names"])))
     change = F.struct("pos", "travelled", "y", "x", names.alias("names"), F.transform("branches", lambda b: b["other"]).alias("near"))
     folded = changes.groupBy("route_id").agg(F.sort_array(F.collect_list(change)).alias("changes"))
@@ -228,10 +229,10 @@ def face_areas(segments: DataFrame, met: DataFrame) -> DataFrame:
     # To the right of the way that leaves a point: the one of the next smaller angle, the largest after the least.
     turns = pieces.select("route_id", piece.alias("leaves"), F.coalesce(F.lag(piece).over(at), F.max_by(piece, "angle").over(whole)).alias("next"))
     backward = F.struct(F.col("leaves.e2").alias("e"), F.col("leaves.n2").alias("n"), F.col("leaves.e").alias("e2"), F.col("leaves.n").alias("n2"))
-    step = turns.select("route_id", backward.alias("piece"), "next").withColumn("least", F.least("piece", "next")).checkpoint()
+    step = turns.select("route_id", backward.alias("piece"), "next").withColumn("least", F.least("piece", "next")).transform(scratch.kept)
     while True:
         on = step.select("route_id", F.col("piece").alias("next"), F.col("next").alias("further"), F.col("least").alias("lesser"))
-        now = step.join(on, ["route_id", "next"]).select("route_id", "piece", F.col("further").alias("next"), F.least("least", "lesser").alias("least"), (F.col("lesser") < F.col("least")).alias("moved")).checkpoint()
+        now = step.join(on, ["route_id", "next"]).select("route_id", "piece", F.col("further").alias("next"), F.least("least", "lesser").alias("least"), (F.col("lesser") < F.col("least")).alias("moved")).transform(scratch.kept)
         step = now.drop("moved")
         if now.filter("moved").isEmpty():
             break
@@ -244,12 +245,12 @@ def compactness(points: DataFrame) -> DataFrame:
     """(route_id, compactness) of closed outlines (route_id, pos, y, x): 4 pi area / perimeter squared, 1
     at most; 0 for fewer than four points or no length. The area is that of all faces which an outline
     encloses where it meets itself, else the ring's."""
-    segments = outlines(points).checkpoint()
+    segments = outlines(points).transform(scratch.kept)
     last = segments.groupBy("route_id").agg(F.max("k").alias("last"))
-    met = meetings(segments).join(last, "route_id").checkpoint()
+    met = meetings(segments).join(last, "route_id").transform(scratch.kept)
     follow = (F.abs(F.col("k") - F.col("other")) == 1) | (F.abs(F.col("k") - F.col("other")) == F.col("last") - 1)
     again = segments.groupBy("route_id", "e", "n").agg(F.count("*").alias("times")).filter("times > 1").select("route_id")
-    crossed = met.filter(~follow).select("route_id").unionByName(again).distinct().checkpoint()
+    crossed = met.filter(~follow).select("route_id").unionByName(again).distinct().transform(scratch.kept)
     faces = face_areas(segments.join(crossed, "route_id", "left_semi"), met.join(crossed, "route_id", "left_semi"))
     metre = lambda c: F.col(c) / GRAIN
     rings = segments.groupBy("route_id").agg(

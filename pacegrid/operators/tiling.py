@@ -111,18 +111,18 @@ def plan(rings: DataFrame, max_miles: float, core: float, cell: float = geo.CELL
     far = reach(radius, max_miles, cell)
     if far <= 0:
         raise ValueError("the radius leaves no reach: use a larger core")
-    cells = metro_cells(rings, cell).checkpoint()
+    cells = metro_cells(rings, cell).transform(scratch.kept)
     bounds = rings.groupBy("metro").agg(F.min("y").alias("south"), F.min("x").alias("west"), F.max("y").alias("north"), F.max("x").alias("east"))
-    tiles = hex_lattice(bounds, math.sqrt(3) * far * LATTICE_SAFETY).withColumn("reach", F.lit(far)).checkpoint()
-    owned = owners(cells, tiles).checkpoint()
+    tiles = hex_lattice(bounds, math.sqrt(3) * far * LATTICE_SAFETY).withColumn("reach", F.lit(far)).transform(scratch.kept)
+    owned = owners(cells, tiles).transform(scratch.kept)
     while not (bare := owned.filter("place is null")).isEmpty():
         first = bare.groupBy("metro").agg(F.min(F.struct("row", "column", "lat", "lon")).alias("cell"))
         last = tiles.groupBy("metro").agg(F.max("place").alias("last"))
         patch = first.join(last, "metro").select("metro", (F.col("last") + 1).alias("place"), F.round("cell.lat", 6).alias("lat"), F.round("cell.lon", 6).alias("lon"), F.lit(far).alias("reach"))
-        tiles = tiles.unionByName(patch).checkpoint()
-        owned = owners(cells, tiles).checkpoint()
+        tiles = tiles.unionByName(patch).transform(scratch.kept)
+        owned = owners(cells, tiles).transform(scratch.kept)
     used = owned.groupBy("metro", "place").agg(F.count("*").alias("cells")).join(tiles, ["metro", "place"])
-    used = used.withColumn("tile", (F.row_number().over(Window.partitionBy("metro").orderBy("place")) - 1).cast("int")).checkpoint()
+    used = used.withColumn("tile", (F.row_number().over(Window.partitionBy("metro").orderBy("place")) - 1).cast("int")).transform(scratch.kept)
     planned = used.select("metro", "tile", "lat", "lon", F.lit(radius).alias("radius"), F.lit(math.floor(far * 10) / 10).alias("reach"), "cells")
     return planned, owned.join(used.select("metro", "place", "tile"), ["metro", "place"]).select("metro", "row", "column", "tile")
 

@@ -44,7 +44,7 @@ def generated_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
 def route_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All measures of the routes whose every step has an edge."""
     scratch.checkpoints(spark)
-    edges = t.road_names(chosen_edges(spark, sf_dir)).checkpoint()
+    edges = t.road_names(chosen_edges(spark, sf_dir)).transform(scratch.kept)
     found = measures.measure(whole_routes(spark, sf_dir, edges), edges, t.nodes(spark, sf_dir))
     rounded = lambda c, n: F.round(c, n).alias(c)
     return found.select("route_id", rounded("miles", 6), rounded("gain", 2), "signals", rounded("trail", 4), rounded("coverage", 4), rounded("compactness", 4))

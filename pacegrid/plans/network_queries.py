@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pacegrid import scratch
 from pacegrid.functions import geo
 from pacegrid.operators import along, graphs, routes, scoring
-from pacegrid.plans.street_queries import EDGES, HAVERSINE, NODES, RANKED, ROUTES
+from pacegrid.plans.street_queries import CELLS, EDGES, HAVERSINE, NODES, RANKED, ROUTES
 from pacegrid.sources import street_tables as t
 
 #: Nodes that no edge of this fixture leads to: they aren't in the core.
@@ -50,8 +50,8 @@ def loop_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = routes.measured_steps(routes.steps(t.route_nodes(spark, sf_dir)), t.edges(spark, sf_dir))
     miles = measured.groupBy("route_id").agg(F.round(F.sum(F.coalesce("length", F.lit(0.0))) / geo.MILE, 6).alias("miles"))
     first = t.route_nodes(spark, sf_dir).filter("pos = 0").join(t.nodes(spark, sf_dir), "node_id")
-    loops = first.select("route_id", geo.cell_row(F.col("y")).alias("row")).join(miles, "route_id")
-    return along.best_band(loops, "row")
+    loops = first.select("route_id", geo.cell_id(F.col("y"), F.col("x")).alias("cell")).join(miles, "route_id")
+    return along.best_band(loops, "cell")
 
 
 def pool_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +95,6 @@ QUERIES = {
 _STRONG = f"""{NODES}, {EDGES}, ways AS (SELECT DISTINCT u, v FROM edges WHERE {UNENTERED} AND u <> v),
 leads AS (SELECT node_id AS a, node_id AS b FROM nodes UNION SELECT a, v FROM leads JOIN ways ON b = u),
 strong AS (SELECT x.a AS node_id, min(x.b) AS component FROM leads x JOIN leads y ON x.a = y.b AND x.b = y.a GROUP BY x.a)"""
-_CELL = "CAST(floor(y / (200e0 / 110540e0)) AS BIGINT)"
 
 SQL = {
     "gph3_strong_components": f"WITH RECURSIVE {_STRONG} SELECT node_id, component FROM strong",
@@ -110,10 +109,10 @@ marks AS (SELECT route_id, pos, round(after, 4) AS metre FROM passed JOIN nodes
 begun AS (SELECT *, CASE WHEN metre - lag(metre) OVER w <= 200e0 THEN 0 ELSE 1 END AS new FROM marks WINDOW w AS (PARTITION BY route_id ORDER BY metre, pos)),
 numbered AS (SELECT *, sum(new) OVER (PARTITION BY route_id ORDER BY metre, pos ROWS UNBOUNDED PRECEDING) AS cluster FROM begun)
 SELECT route_id, CAST(cluster AS BIGINT) AS cluster, min(metre) AS first, max(metre) AS last, count(*) AS marks FROM numbered GROUP BY route_id, cluster""",
-    "sel7_loop_bands": f"""WITH {NODES}, {EDGES}, {ROUTES}, miles AS (SELECT route_id, round(sum(coalesce(length, 0e0)) / 1609.344e0, 6) AS miles FROM measured GROUP BY route_id),
-loops AS (SELECT r.route_id, {_CELL} AS row, miles FROM route_nodes r JOIN nodes USING (node_id) JOIN miles m ON r.route_id = m.route_id WHERE pos = 0),
-counted AS (SELECT a.row, a.route_id, a.miles, count(*) AS near FROM loops a JOIN loops b ON a.row = b.row AND abs(round((b.miles - a.miles) * 1e6)) <= 250000 GROUP BY ALL)
-SELECT row, miles, near FROM (SELECT *, row_number() OVER (PARTITION BY row ORDER BY near DESC, miles DESC) AS rn FROM counted) WHERE rn = 1""",
+    "sel7_loop_bands": f"""WITH {NODES}, {EDGES}, {ROUTES}, {CELLS}, miles AS (SELECT route_id, round(sum(coalesce(length, 0e0)) / 1609.344e0, 6) AS miles FROM measured GROUP BY route_id),
+loops AS (SELECT r.route_id, '200:' || row || ':' || col AS cell, miles FROM route_nodes r JOIN celled USING (node_id) JOIN miles m ON r.route_id = m.route_id WHERE pos = 0),
+counted AS (SELECT a.cell, a.route_id, a.miles, count(*) AS near FROM loops a JOIN loops b ON a.cell = b.cell AND abs(round((b.miles - a.miles) * 1e6)) <= 250000 GROUP BY ALL)
+SELECT cell, miles, near FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY near DESC, miles DESC) AS rn FROM counted) WHERE rn = 1""",
     "agg13_pool_facts": f"""WITH {RANKED}, pools AS (SELECT request_id, surface, count(*) FILTER (abs(miles - target) <= 0.25e0) AS loops FROM candidates GROUP BY ALL)
 SELECT surface, count(*) AS rows, count(DISTINCT request_id // 4) AS cells, CAST(coalesce(sum(loops), 0) AS BIGINT) AS loops, max(loops) AS largest FROM pools GROUP BY surface""",
     "scr4_distance_rank": f"""WITH {RANKED} SELECT request_id, ordinal, error, row_number() OVER (PARTITION BY request_id ORDER BY error, ordinal) AS rank FROM scored""",

@@ -32,7 +32,7 @@ def serve_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = points.filter("pos = 0").select("route_id", geo.cell_id(F.col("y"), F.col("x")).alias("cell"))
     loops = points.select("route_id", "pos", "node_id").join(first, "route_id").join(lengths, "route_id")
     asked = nodes.select(F.col("node_id").alias("request_id"), F.col("node_id").alias("source"), (1.0 + F.col("node_id") % 2 * 0.5).alias("target_miles"))
-    found = pools.serve(asked, nodes, edges, loops.checkpoint(), pools.NEAR_RINGS)
+    found = pools.serve(asked, nodes, edges, loops.transform(scratch.kept), pools.NEAR_RINGS)
     return found.select("request_id", "retry", "route_id", "pos", F.round("connector", 2).alias("connector"), F.round("metres", 1).alias("metres"))
 
 
@@ -41,7 +41,7 @@ def distinct_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch.checkpoints(spark)
     area = t.route_nodes(spark, sf_dir).filter("pos = 0").select("route_id", F.floor(F.col("node_id") / 11).alias("area"))
     walked = _measured(spark, sf_dir).filter("length is not null").join(area, "route_id")
-    streets = routes.walked_streets(walked, "area").checkpoint()
+    streets = routes.walked_streets(walked, "area").transform(scratch.kept)
     return selection.distinct_by_streets(area.withColumn("place", F.col("route_id")), streets, "area", 5, MOST_SHARED)
 
 

@@ -1,10 +1,11 @@
-"""The checkpoint folder of rounds that cut their lineage."""
+"""The checkpoint folder of rounds that cut their lineage, and tables kept there."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoints(spark: SparkSession) -> None:
@@ -18,3 +19,13 @@ def checkpoints(spark: SparkSession) -> None:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="pacegrid-")
     spark.sparkContext.setCheckpointDir(folder)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder as Parquet and read back. Its lineage is cut as by a
+    checkpoint, and its size is the files' own: a checkpoint keeps the planner's estimate, and those of
+    joins multiply from round to round."""
+    checkpoints(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
