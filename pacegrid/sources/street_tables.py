@@ -93,11 +93,12 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def loop_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(request_id, origin, lat, lon, target, tolerance, wanted, surface, climb): loops asked for at nodes."""
+    """(request_id, origin, lat, lon, target, tolerance, wanted, surface, climb): loops asked for at nodes, one
+    per nation; the network grows with the parts."""
     count = nodes(spark, sf_dir).agg(F.count("*").alias("count"))
-    s = F.col("s_suppkey").cast("long")
-    k = (s * 37) % F.col("count")
-    return table(spark, sf_dir, "supplier").crossJoin(F.broadcast(count)).select(
+    s = F.col("n_nationkey").cast("long")
+    k = (s * 197 + 60) % F.col("count")
+    return table(spark, sf_dir, "nation").crossJoin(F.broadcast(count)).select(
         s.alias("request_id"), k.alias("origin"), (38.0 + F.floor(k / WIDTH) * 0.0013).alias("lat"), (-78.5 + (k % WIDTH) * 0.0017).alias("lon"), (1.0 + s % 2 * 0.5).alias("target"),
         F.lit(0.25).alias("tolerance"), F.lit(3).alias("wanted"), F.lit("mixed").alias("surface"), F.lit("balanced").alias("climb"),
     )

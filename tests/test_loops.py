@@ -123,26 +123,23 @@ def test_first_attempts_against_plain_search(spark, town, on):
 def test_generated_loops(spark, town, on):
     nodes, edges, table, _ = town
     requests = asked(spark, nodes, (SIDE * 7 + 6, 1.0, 3), (0, 1.0, 2), (SIDE * 3 + 9, 20.0, 3))
-    for pool in (None, 8):
-        rows = loops.generate(requests, on, 1.0, pool_size=pool).orderBy("request_id", "place").collect()
-        by = {i: [r for r in rows if r.request_id == i] for i in range(3)}
-        # Twenty miles don't fit into the town: nothing is long enough.
-        assert len(by[0]) == 3 if pool is None else 3 < len(by[0]) <= 8
-        assert 1 <= len(by[1]) <= (2 if pool is None else 8) and not by[2]
-        for r in rows:
-            line = list(r.nodes)
-            origin = (SIDE * 7 + 6, 0)[r.request_id]
-            assert line[0] == line[-1] == origin and all(s in edges for s in zip(line, line[1:]))
-            assert plain_trim(line) == line and r.miles == pytest.approx(sum(edges[s][0] for s in zip(line, line[1:])) / MILE)
-            assert 0.55 <= r.miles <= 1.5 and (pool is None or r.repeated <= 0.1)
-        for some in by.values():
-            streets = [{(min(s), max(s)): edges[s][0] for s in zip(r.nodes, r.nodes[1:])} for r in some]
-            for i, a in enumerate(streets):
-                for b in streets[:i]:
-                    shared = sum(min(x, b.get(s, 0)) for s, x in a.items())
-                    assert shared / (sum(a.values()) + sum(b.values()) - shared) < 0.7
-            assert [r.place for r in some] == list(range(1, len(some) + 1)) and [r.rank for r in some] == sorted(r.rank for r in some)
-        assert abs(by[0][0].miles - 1.0) <= 0.25
+    rows = loops.generate(requests, on, 1.0).orderBy("request_id", "place").collect()
+    by = {i: [r for r in rows if r.request_id == i] for i in range(3)}
+    # Twenty miles don't fit into the town: nothing is long enough.
+    assert len(by[0]) == 3 and 1 <= len(by[1]) <= 2 and not by[2]
+    for r in rows:
+        line = list(r.nodes)
+        assert line[0] == line[-1] == (SIDE * 7 + 6, 0)[r.request_id] and all(s in edges for s in zip(line, line[1:]))
+        assert plain_trim(line) == line and r.miles == pytest.approx(sum(edges[s][0] for s in zip(line, line[1:])) / MILE)
+        assert 0.55 <= r.miles <= 1.5
+    for some in by.values():
+        streets = [{(min(s), max(s)): edges[s][0] for s in zip(r.nodes, r.nodes[1:])} for r in some]
+        for i, a in enumerate(streets):
+            for b in streets[:i]:
+                shared = sum(min(x, b.get(s, 0)) for s, x in a.items())
+                assert shared / (sum(a.values()) + sum(b.values()) - shared) < 0.7
+        assert [r.place for r in some] == list(range(1, len(some) + 1)) and [r.rank for r in some] == sorted(r.rank for r in some)
+    assert abs(by[0][0].miles - 1.0) <= 0.25
 
 
 def test_second_attempts(spark):
