@@ -159,7 +159,7 @@ def doubled_back(points: DataFrame) -> DataFrame:
     spread = spread.withColumn("row", F.explode(F.transform(around, lambda i: F.floor(F.col("n2") / BESIDE) + i))).withColumn("column", F.explode(F.transform(around, lambda i: F.floor(F.col("e2") / BESIDE) + i)))
     gap = F.col("at") - F.col("before")
     near = (F.hypot(F.col("e") - F.col("e2"), F.col("n") - F.col("n2")) <= BESIDE) & (F.col("he") * F.col("he2") + F.col("hn") * F.col("hn2") < OPPOSITE)
-    back = here.join(spread, ["route_id", "row", "column"]).filter(near & (gap > 0) & (F.least(gap, F.col("total") - gap) > GAP))
+    back = here.join(scratch.dealt(spread), ["route_id", "row", "column"]).filter(near & (gap > 0) & (F.least(gap, F.col("total") - gap) > GAP))
     found = back.select("route_id", "pos", "k", "weight").distinct().groupBy("route_id").agg(F.sum("weight").alias("back"))
     totals = parts.groupBy("route_id").agg(F.max("total").alias("total"))
     routes = points.select("route_id").distinct()
@@ -191,7 +191,7 @@ def meetings(segments: DataFrame) -> DataFrame:
     cells = lambda a, b: F.sequence(F.floor(F.least(a, b) / size), F.floor(F.greatest(a, b) / size))
     laid = segments.withColumn("row", F.explode(cells(F.col("n"), F.col("n2")))).withColumn("column", F.explode(cells(F.col("e"), F.col("e2"))))
     other = laid.select("route_id", "row", "column", F.col("k").alias("other"), *(F.col(c).alias(f"o_{c}") for c in ("e", "n", "e2", "n2")))
-    met = laid.join(other, ["route_id", "row", "column"]).filter("k < other").drop("row", "column").distinct()
+    met = laid.join(scratch.dealt(other), ["route_id", "row", "column"]).filter("k < other").drop("row", "column").distinct()
     d = lambda c: F.col(c).cast("double")
     me, mn, oe, on = d("e2") - d("e"), d("n2") - d("n"), d("o_e2") - d("o_e"), d("o_n2") - d("o_n")
     we, wn = d("o_e") - d("e"), d("o_n") - d("n")
@@ -220,7 +220,7 @@ def face_areas(segments: DataFrame, met: DataFrame) -> DataFrame:
     marks = ends.unionByName(met.select("route_id", "k", "e", "n")).distinct()
     starts = segments.select("route_id", "k", F.col("e").alias("from_e"), F.col("n").alias("from_n"))
     order = Window.partitionBy("route_id", "k").orderBy(F.hypot((F.col("e") - F.col("from_e")).cast("double"), (F.col("n") - F.col("from_n")).cast("double")), "e", "n")
-    cut = marks.join(starts, ["route_id", "k"]).select("route_id", "e", "n", F.lead("e").over(order).alias("e2"), F.lead("n").over(order).alias("n2")).filter("e2 is not null")
+    cut = marks.join(scratch.dealt(starts), ["route_id", "k"]).select("route_id", "e", "n", F.lead("e").over(order).alias("e2"), F.lead("n").over(order).alias("n2")).filter("e2 is not null")
     back = cut.select("route_id", F.col("e2").alias("e"), F.col("n2").alias("n"), F.col("e").alias("e2"), F.col("n").alias("n2"))
     pieces = cut.unionByName(back).filter("e <> e2 or n <> n2").distinct().withColumn("angle", F.atan2((F.col("n2") - F.col("n")).cast("double"), (F.col("e2") - F.col("e")).cast("double")))
     at = Window.partitionBy("route_id", "e", "n").orderBy("angle")

@@ -5,13 +5,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from pacegrid import scratch
 from pacegrid.functions import geo
 
 WIDTH = 50
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return scratch.dealt(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
