@@ -112,7 +112,7 @@ def _nearest_within(points: DataFrame, nodes: DataFrame, key: str, cell: float)
     spread = nodes.select("node_id", "y", "x", F.explode(F.transform(steps, lambda i: geo.cell_row(F.col("y"), cell) + i)).alias("row"))
     spread = spread.withColumn("column", F.explode(F.transform(steps, lambda i: F.floor(F.col("x") / geo.column_width(F.col("row"), cell)).cast("long") + i)))
     metres = F.round(geo.haversine(F.col("lat"), F.col("lon"), F.col("y"), F.col("x")), 6)
-    met = here.join(spread, ["row", "column"]).groupBy(key).agg(F.min(F.struct(metres.alias("metres"), "node_id")).alias("best"))
+    met = here.join(scratch.dealt(spread), ["row", "column"]).groupBy(key).agg(F.min(F.struct(metres.alias("metres"), "node_id")).alias("best"))
     return met.select(key, "best.node_id", "best.metres")
 
 
@@ -141,7 +141,7 @@ def assign_tiles(cells: DataFrame, tiles: DataFrame) -> DataFrame:
     # A degree of latitude bounds the distance, so rows are an equi join's key.
     band = 0.01
     banded = tiles.withColumn("band", F.explode(F.sequence(F.floor((F.col("lat") - F.col("reach") / 110000.0) / band), F.floor((F.col("lat") + F.col("reach") / 110000.0) / band))))
-    near = cells.withColumn("band", F.floor(F.col("c_lat") / band)).join(banded, "band").filter(metres <= F.col("reach"))
+    near = cells.withColumn("band", F.floor(F.col("c_lat") / band)).join(scratch.dealt(banded), "band").filter(metres <= F.col("reach"))
     best = near.groupBy("cell").agg(F.min(F.struct(metres.alias("metres"), "tile")).alias("best"))
     return cells.select("cell").join(best, "cell", "left").select("cell", F.coalesce("best.tile", F.lit(-1).cast("long")).alias("tile"), F.col("best.metres").alias("metres"))
 
