@@ -97,9 +97,9 @@ def owners(cells: DataFrame, tiles: DataFrame, within: Column | str = "reach") -
     edge = lambda sign: F.floor((F.col("t_lat") + sign * F.col("within") / 110_000.0) / BAND)
     banded = tiles.withColumn("band", F.explode(F.sequence(edge(-1), edge(1))))
     metres = geo.haversine(F.col("lat"), F.col("lon"), F.col("t_lat"), F.col("t_lon"))
-    met = cells.withColumn("band", F.floor(F.col("lat") / BAND)).join(banded, ["metro", "band"]).withColumn("metres", metres).filter("metres <= within")
+    met = cells.withColumn("band", F.floor(F.col("lat") / BAND)).join(scratch.dealt(banded), ["metro", "band"]).withColumn("metres", metres).filter("metres <= within")
     best = met.groupBy("metro", "row", "column").agg(F.min(F.struct("metres", "place")).alias("best")).select("metro", "row", "column", "best.*")
-    return cells.join(best, ["metro", "row", "column"], "left")
+    return cells.join(scratch.dealt(best), ["metro", "row", "column"], "left")
 
 
 def plan(rings: DataFrame, max_miles: float, core: float, cell: float = geo.CELL) -> tuple[DataFrame, DataFrame]:
