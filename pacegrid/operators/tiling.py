@@ -18,6 +18,9 @@ from pacegrid.functions import geo
 #: lattice points stand than discs would need.
 HALF_DIAGONAL, LEAST_RADIUS, RADIUS_SHARE, ROUND_UP, LATTICE_SAFETY = math.sqrt(2) / 2 * 1.005, 2_000.0, 0.55, 100.0, 0.97
 
+#: Points of boundaries that one task makes cells of.
+RING_POINTS = 6_000
+
 #: Degrees of latitude of the bands in which cells meet tiles.
 BAND = 0.02
 
@@ -50,7 +53,7 @@ def metro_cells(rings: DataFrame, cell: float = geo.CELL) -> DataFrame:
     number of them holds is inside. Each row of cells is cut at the sides that pass its centre line;
     cells near a side are found from the side."""
     high = cell / geo.LATITUDE_METRES
-    sides = _sides(rings).withColumn("widest", F.max(F.abs("y")).over(Window.partitionBy("metro")))
+    sides = _sides(scratch.spread(rings, RING_POINTS, "metro")).withColumn("widest", F.max(F.abs("y")).over(Window.partitionBy("metro")))
     low, top = F.least("y", "y2"), F.greatest("y", "y2")
     centre = (F.col("row") + 0.5) * high
     width = geo.column_width(F.col("row"), cell)

@@ -28,6 +28,12 @@ def dealt(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def spread(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """``df`` dealt out by columns to tasks of about ``rows`` rows each: before short rows are exploded into
+    many, for a small file is one task however much comes of it."""
+    return df.repartition(max(1, -(-df.count() // rows)), *by)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder as Parquet and read back. Its lineage is cut as by a
     checkpoint, and its size is the files' own: a checkpoint keeps the planner's estimate, and those of
