@@ -54,10 +54,10 @@ def separated_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ways back of all these paths, off the streets that led out where that isn't three times as dear."""
     scratch.checkpoints(spark)
     links = paths.cost_links(_collapsed(spark, sf_dir)).transform(scratch.kept)
-    costs, read = paths.cheapest_paths(_pairs(spark, sf_dir), links, LIMIT)
+    costs, read = paths.cheapest_paths(_pairs(spark, sf_dir), links, LIMIT, places=t.nodes(spark, sf_dir))
     used = routes.steps(read.select(F.col("source").alias("route_id"), "pos", "node_id")).select(F.col("route_id").alias("pair"), "u", "v")
     back = costs.select(F.col("source").alias("pair"), F.col("target").alias("source"), F.col("source").alias("target"))
-    return _drawn(paths.penalised_paths(back, links, used), chosen_edges(spark, sf_dir), "pair")
+    return _drawn(paths.penalised_paths(back, links, used, places=t.nodes(spark, sf_dir)), chosen_edges(spark, sf_dir), "pair")
 
 
 def whole_routes(spark: SparkSession, sf_dir: str, edges: DataFrame) -> DataFrame:
