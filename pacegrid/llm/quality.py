@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from pacegrid.llm import common
@@ -62,11 +63,14 @@ def term_matrix(column: pa.Array) -> np.ndarray:
     return np.concatenate([shape_matrix(data, offsets, SHAPES), WORD_WEIGHT * word_matrix(data, offsets, WORDS)], axis=1)
 
 
-def _vectors(raw: np.ndarray, model: Model) -> np.ndarray:
-    found = (raw * model.weights) @ model.basis
+def _unit(found: np.ndarray) -> np.ndarray:
     return found / np.maximum(1e-9, np.linalg.norm(found, axis=1, keepdims=True))
 
 
+def _vectors(raw: np.ndarray, model: Model) -> np.ndarray:
+    return _unit((raw * model.weights) @ model.basis)
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, **columns) -> Model | None:
     """The model, or None without labelled rows. Features are computed by the executors; the
     driver gets ``2 * per_class`` rows of shares at most."""
@@ -77,22 +81,45 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, *
             raw = term_matrix(batch.column(1)).astype(np.float16)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2).cast(pa.int32()), pa.array([r.tobytes() for r in raw], pa.binary())], ["id", "label", "raw"])
 
-    rows = sample.mapInArrow(shapes, f"id {sample.schema['id'].dataType.simpleString()}, label int, raw binary").toArrow().sort_by("id")
-    if not rows.num_rows:
-        return None
-    raw = np.stack([np.frombuffer(r, np.float16) for r in rows["raw"].to_pylist()]).astype(np.float32)
-    y = rows["label"].to_numpy().astype(np.float32)
-    weights = np.log((1 + len(raw)) / (1 + (raw > 0).sum(axis=0))).astype(np.float32) + 0.2
-    weighted = raw * weights
-    values, basis = np.linalg.eigh(weighted.T @ weighted)
-    model = Model(weights, np.ascontiguousarray(basis[:, ::-1][:, :RANK]), np.zeros((0, 0)), y, 0.0, (1.0, 1.0))
+    rows = sample.mapInArrow(shapes, f"id {sample.schema['id'].dataType.simpleString()}, label int, raw binary").toArrow()
+    return model_of(rows, counts) if rows.num_rows else None
+
+
+def model_of(rows: pa.Table, counts: dict[int, int]) -> Model:
+    """The model of labelled rows (id, label, raw). The driver holds their shares once, as sent; wider copies
+    live for one product each, and none while the basis is computed."""
+    order = pc.sort_indices(rows, [("id", "ascending")])
+    raw = np.empty((rows.num_rows, SHAPES + WORDS), np.float16)
+    column = rows["raw"].combine_chunks()
+    for at, row in enumerate(order.to_numpy()):
+        raw[at] = np.frombuffer(column[row].as_buffer(), np.float16)
+    y = rows["label"].take(order).to_numpy().astype(np.float32)
+    del rows, column
+    pa.default_memory_pool().release_unused()
+    weights = np.log((1 + len(raw)) / (1 + np.array([np.count_nonzero(c > 0) for c in raw.T]))).astype(np.float32) + 0.2
+
+    def weighted():
+        wide = raw.astype(np.float32)
+        wide *= weights
+        return wide
+
+    basis = _basis(weighted)
+    model = Model(weights, basis, np.zeros((0, 0)), y, 0.0, (1.0, 1.0))
     total = max(1, sum(counts.values()))
     model.prior = counts.get(1, 0) / total
     model.balance = tuple(counts.get(k, 0) / max(1, int((y == k).sum())) for k in (0, 1))
-    model.vectors = np.ascontiguousarray(_vectors(raw, model).T)
+    model.vectors = np.ascontiguousarray(_unit(weighted() @ basis).T)
     return model
 
 
+def _basis(weighted) -> np.ndarray:
+    """(terms, RANK): the leading eigenvectors of the rows' products."""
+    wide = weighted()
+    products = wide.T @ wide
+    del wide
+    return np.ascontiguousarray(np.linalg.eigh(products)[1][:, ::-1][:, :RANK])
+
+
 def vote(raw: np.ndarray, model: Model) -> np.ndarray:
     """Scores of a block of feature rows: similarity-weighted votes of the nearest labelled
     vectors, each standing for its class's share of the labelled rows."""
