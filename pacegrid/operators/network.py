@@ -79,25 +79,32 @@ def edge_costs(edges: DataFrame, nodes: DataFrame, surface: str, flat: bool) ->
     return _with_ends(edges, nodes).select("u", "v", "key", "length", "major", "trail", _cost(F.lit(surface), F.lit(flat)).alias("cost"))
 
 
-def edge_costs_by_preference(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``edge_costs`` of every surface wish, flat or not, with these as columns; the ends are joined
-    once for all."""
-    wishes = F.array(*(F.struct(F.lit(s).alias("surface"), F.lit(f).alias("flat")) for s in SURFACES for f in (False, True)))
-    each = _with_ends(edges, nodes).drop("surface").select("*", F.inline(wishes))
-    return each.select("surface", "flat", "u", "v", "key", "length", "major", "trail", _cost(F.col("surface"), F.col("flat")).alias("cost"))
-
-
-def collapse(costs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """One edge (u, v, key, cost) per pair of ends, and per ``by``: the cheapest after the charge for
-    entering a node where two or more major roads meet by an edge that isn't one; the lowest key
-    wins ties."""
-    major = costs.filter("major").select("u", "v").distinct()
+def _entered(edges: DataFrame) -> DataFrame:
+    """Edges (u, v, major, ...) with ``charge``: that for entering a node where two or more major roads meet
+    by an edge that isn't one."""
+    major = edges.filter("major").select("u", "v").distinct()
     ends = major.select(F.col("u").alias("v"), F.col("v").alias("other")).unionByName(major.select("v", F.col("u").alias("other")))
     met = ends.distinct().groupBy("v").agg(F.count("*").alias("roads")).filter("roads >= 2")
-    entered = costs.join(met, "v", "left")
-    full = F.col("cost") + F.when(F.col("roads").isNotNull() & ~F.col("major"), CROSSING).otherwise(0.0)
-    best = entered.groupBy(*by, "u", "v").agg(F.min(F.struct(full.alias("cost"), "key")).alias("best"))
-    return best.select(*by, "u", "v", "best.key", F.col("best.cost").alias("cost"))
+    return edges.join(met, "v", "left").withColumn("charge", F.when(F.col("roads").isNotNull() & ~F.col("major"), CROSSING).otherwise(0.0))
+
+
+def collapse(costs: DataFrame) -> DataFrame:
+    """One edge (u, v, key, cost) per pair of ends: the cheapest after the charge for entering a node
+    where two or more major roads meet by an edge that isn't one; the lowest key wins ties."""
+    full = (F.col("cost") + F.col("charge")).alias("cost")
+    best = _entered(costs).groupBy("u", "v").agg(F.min(F.struct(full, "key")).alias("best"))
+    return best.select("u", "v", "best.key", F.col("best.cost").alias("cost"))
+
+
+def collapse_by_preference(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``collapse`` of the ``edge_costs`` of every surface wish, flat or not, with these as columns. Edges go
+    through joins and grouping once for all wishes; only the chosen ones are listed for each."""
+    wishes = [(s, f) for s in SURFACES for f in (False, True)]
+    full = lambda s, f: (_cost(F.lit(s), F.lit(f)) + F.col("charge")).alias("cost")
+    each = [F.min(F.struct(full(*w), "key")).alias(f"best{i}") for i, w in enumerate(wishes)]
+    best = _entered(_with_ends(edges, nodes).drop("highway", "surface")).groupBy("u", "v").agg(*each)
+    listed = F.array(*(F.struct(F.lit(s).alias("surface"), F.lit(f).alias("flat"), F.col(f"best{i}.key").alias("key"), F.col(f"best{i}.cost").alias("cost")) for i, (s, f) in enumerate(wishes)))
+    return best.select("u", "v", F.inline(listed)).select("surface", "flat", "u", "v", "key", "cost")
 
 
 #: Cell sizes of successive rounds: the last one's nine cells span the globe.
