@@ -36,7 +36,7 @@ def anchored(looked: DataFrame, loops: DataFrame, reach: DataFrame, limit: float
     """(source, route_id, pos, connector, metres): per origin and loop of its cells the join of
     least connector, the first position on ties. ``loops`` has a row per node."""
     near = reach.filter((F.col("out") <= limit) & (F.col("back") <= limit))
-    met = looked.select("source", "cell").join(loops, "cell").join(near, ["source", "node_id"])
+    met = looked.select("source", "cell").join(loops, "cell").join(scratch.dealt(near), ["source", "node_id"])
     best = F.min(F.struct(F.round(F.col("out") + F.col("back"), 3).alias("connector"), "pos")).alias("best")
     joined = met.groupBy("source", "route_id", "metres").agg(best)
     return joined.select("source", "route_id", "best.pos", "best.connector", (F.col("metres") + F.col("best.connector")).alias("metres"))
@@ -54,7 +54,7 @@ def serve(requests: DataFrame, nodes: DataFrame, edges: DataFrame, loops: DataFr
     reach = both_ways(wide.select("source").distinct(), edges, WIDER)
 
     def answers(asked: DataFrame, looked: DataFrame, limit: float, label: str) -> DataFrame:
-        found = asked.join(anchored(looked, loops, reach, limit), "source")
+        found = asked.join(scratch.dealt(anchored(looked, loops, reach, limit)), "source")
         fits = F.abs(F.col("metres") - F.col("target_miles") * geo.MILE) <= BAND
         return found.filter(fits).select("request_id", F.lit(label).alias("retry"), "route_id", "pos", "connector", "metres")
 

@@ -23,14 +23,18 @@ def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routes.measured_steps(routes.steps(t.route_nodes(spark, sf_dir)), t.edges(spark, sf_dir))
 
 
-def serve_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests of every node as origin, answered from whole loops keyed by their first cell."""
-    scratch.checkpoints(spark)
-    nodes, edges = t.nodes(spark, sf_dir), t.edges(spark, sf_dir)
+def whole_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(route_id, pos, node_id, cell, metres) of routes whose every step has an edge, keyed by their first cell."""
     lengths = routes.repeated_share(_measured(spark, sf_dir)).filter("missing = 0").select("route_id", "metres")
     points = _points(spark, sf_dir)
     first = points.filter("pos = 0").select("route_id", geo.cell_id(F.col("y"), F.col("x")).alias("cell"))
-    loops = points.select("route_id", "pos", "node_id").join(first, "route_id").join(lengths, "route_id")
+    return points.select("route_id", "pos", "node_id").join(scratch.dealt(first), "route_id").join(scratch.dealt(lengths), "route_id")
+
+
+def serve_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of every node as origin, answered from whole loops keyed by their first cell."""
+    scratch.checkpoints(spark)
+    nodes, edges, loops = t.nodes(spark, sf_dir), t.edges(spark, sf_dir), whole_loops(spark, sf_dir)
     asked = nodes.select(F.col("node_id").alias("request_id"), F.col("node_id").alias("source"), (1.0 + F.col("node_id") % 2 * 0.5).alias("target_miles"))
     found = pools.serve(asked, nodes, edges, loops.transform(scratch.kept), pools.NEAR_RINGS)
     return found.select("request_id", "retry", "route_id", "pos", F.round("connector", 2).alias("connector"), F.round("metres", 1).alias("metres"))
