@@ -22,6 +22,9 @@ BEARING_OUT, SAME_JUNCTION, SAME_ROAD, SAME_PLACE = 15.0, 100.0, 60.0, 30.0
 #: lie, how far samples are apart; headings are opposite below this cosine.
 BESIDE, GAP, SAMPLE, OPPOSITE = 20.0, 40.0, 10.0, -0.5
 
+#: Parts of a route up to which they all meet, without cells.
+FEW = 64
+
 #: Metres of the cells in which segments meet; parts of a metre that tell points of outlines apart.
 SEGMENT_CELL, GRAIN = 250.0, 10_000
 
@@ -139,28 +142,43 @@ def _flat(points: DataFrame) -> DataFrame:
 def doubled_back(points: DataFrame) -> DataFrame:
     """(route_id, doubled) of drawn lines (route_id, pos, y, x): the share of a route's length that runs
     back along an earlier part of it, by samples that have an earlier one of opposite heading beside
-    them. The gap between the two, along the route or around its end, keeps turns out. A sample meets
-    those of its cell and the eight around it."""
+    them. The gap between the two, along the route or around its end, keeps turns out. Parts of a route
+    meet, not their samples: all of a route of ``FEW`` parts, else those of one cell. A sample looks at
+    the few of the other part that can lie beside it."""
     along = Window.partitionBy("route_id").orderBy("pos")
+    whole = Window.partitionBy("route_id")
     flat = _flat(points).select("route_id", "pos", "e", "n", (F.lead("e").over(along) - F.col("e")).alias("de"), (F.lead("n").over(along) - F.col("n")).alias("dn"))
     parts = flat.withColumn("length", F.hypot("de", "dn")).filter("length > 0")
     parts = parts.withColumn("walked", F.sum("length").over(along.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length"))
-    parts = parts.withColumn("total", F.sum("length").over(Window.partitionBy("route_id"))).withColumn("samples", F.greatest(F.lit(1), F.floor(F.col("length") / SAMPLE).cast("int")))
-    each = parts.filter(F.col("total") > 2 * GAP).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("samples") - 1)))
+    parts = parts.withColumns({"total": F.sum("length").over(whole), "parts": F.count("*").over(whole)})
+    long = parts.filter(F.col("total") > 2 * GAP)
+
+    def laid(wider: float) -> DataFrame:
+        """Parts in the cells that their surroundings touch."""
+        cells = lambda c: F.sequence(F.floor((F.least(F.col(c), F.col(c) + F.col(f"d{c}")) - wider) / SEGMENT_CELL), F.floor((F.greatest(F.col(c), F.col(c) + F.col(f"d{c}")) + wider) / SEGMENT_CELL))
+        one = lambda c: F.when(F.col("parts") <= FEW, F.array(F.lit(0).cast("long"))).otherwise(cells(c))
+        return long.withColumn("row", F.explode(one("n"))).withColumn("column", F.explode(one("e"))).drop("parts", "length")
+
+    other = laid(BESIDE + 1).select("route_id", "row", "column", *(F.col(c).alias(f"o_{c}") for c in ("pos", "e", "n", "de", "dn", "walked")))
+    met = laid(0.0).join(scratch.dealt(other), ["route_id", "row", "column"])
+    size, o_size = F.hypot("de", "dn"), F.hypot("o_de", "o_dn")
+    many = lambda length: F.greatest(F.lit(1), F.floor(length / SAMPLE).cast("int"))
+    close = lambda c: (F.least(F.col(c), F.col(c) + F.col(f"d{c}")) <= F.greatest(F.col(f"o_{c}"), F.col(f"o_{c}") + F.col(f"o_d{c}")) + BESIDE + 1) & (F.greatest(F.col(c), F.col(c) + F.col(f"d{c}")) >= F.least(F.col(f"o_{c}"), F.col(f"o_{c}") + F.col(f"o_d{c}")) - BESIDE - 1)
+    opposite = (F.col("de") / size) * (F.col("o_de") / o_size) + (F.col("dn") / size) * (F.col("o_dn") / o_size) < OPPOSITE
+    pairs = met.filter((F.col("o_pos") < F.col("pos")) & opposite & close("e") & close("n"))
+    pairs = pairs.withColumns({"length": size, "o_length": o_size, "samples": many(size), "o_samples": many(o_size)})
+    each = pairs.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("samples") - 1)))
     share = F.col("k") / F.col("samples")
-    each = each.select(
-        "route_id", "total", "pos", "k", (F.col("e") + F.col("de") * share).alias("e"), (F.col("n") + F.col("dn") * share).alias("n"), (F.col("walked") + F.col("length") * share).alias("at"),
-        (F.col("de") / F.col("length")).alias("he"), (F.col("dn") / F.col("length")).alias("hn"), (F.col("length") / F.col("samples")).alias("weight"),
-    )
-    cell = lambda c: F.floor(F.col(c) / BESIDE)
-    here = each.withColumns({"row": cell("n"), "column": cell("e")})
-    around = F.sequence(F.lit(-1), F.lit(1))
-    spread = each.select("route_id", F.col("e").alias("e2"), F.col("n").alias("n2"), F.col("at").alias("before"), F.col("he").alias("he2"), F.col("hn").alias("hn2"))
-    spread = spread.withColumn("row", F.explode(F.transform(around, lambda i: F.floor(F.col("n2") / BESIDE) + i))).withColumn("column", F.explode(F.transform(around, lambda i: F.floor(F.col("e2") / BESIDE) + i)))
-    gap = F.col("at") - F.col("before")
-    near = (F.hypot(F.col("e") - F.col("e2"), F.col("n") - F.col("n2")) <= BESIDE) & (F.col("he") * F.col("he2") + F.col("hn") * F.col("hn2") < OPPOSITE)
-    back = here.join(scratch.dealt(spread), ["route_id", "row", "column"]).filter(near & (gap > 0) & (F.least(gap, F.col("total") - gap) > GAP))
-    found = back.select("route_id", "pos", "k", "weight").distinct().groupBy("route_id").agg(F.sum("weight").alias("back"))
+    each = each.withColumns({"at_e": F.col("e") + F.col("de") * share, "at_n": F.col("n") + F.col("dn") * share, "at": F.col("walked") + F.col("length") * share, "weight": F.col("length") / F.col("samples")})
+    # Samples of the other part are even: those within BESIDE lie about the foot of this one on it.
+    foot = ((F.col("at_e") - F.col("o_e")) * F.col("o_de") + (F.col("at_n") - F.col("o_n")) * F.col("o_dn")) / F.col("o_length")
+    nth = lambda metres: F.floor(metres * F.col("o_samples") / F.col("o_length")).cast("int")
+    each = each.withColumns({"first": F.greatest(F.lit(0), nth(foot - BESIDE)), "last": F.least(F.col("o_samples") - 1, nth(foot + BESIDE) + 1)})
+    each = each.filter("first <= last").withColumn("j", F.explode(F.sequence("first", "last")))
+    o_share = F.col("j") / F.col("o_samples")
+    gap = F.col("at") - (F.col("o_walked") + F.col("o_length") * o_share)
+    near = F.hypot(F.col("at_e") - (F.col("o_e") + F.col("o_de") * o_share), F.col("at_n") - (F.col("o_n") + F.col("o_dn") * o_share)) <= BESIDE
+    found = each.filter(near & (gap > 0) & (F.least(gap, F.col("total") - gap) > GAP)).select("route_id", "pos", "k", "weight").distinct().groupBy("route_id").agg(F.sum("weight").alias("back"))
     totals = parts.groupBy("route_id").agg(F.max("total").alias("total"))
     routes = points.select("route_id").distinct()
     return routes.join(totals, "route_id", "left").join(found, "route_id", "left").select("route_id", F.coalesce(F.col("back") / F.col("total"), F.lit(0.0)).alias("doubled"))
