@@ -209,7 +209,9 @@ def meetings(segments: DataFrame) -> DataFrame:
     cells = lambda a, b: F.sequence(F.floor(F.least(a, b) / size), F.floor(F.greatest(a, b) / size))
     laid = segments.withColumn("row", F.explode(cells(F.col("n"), F.col("n2")))).withColumn("column", F.explode(cells(F.col("e"), F.col("e2"))))
     other = laid.select("route_id", "row", "column", F.col("k").alias("other"), *(F.col(c).alias(f"o_{c}") for c in ("e", "n", "e2", "n2")))
-    met = laid.join(scratch.dealt(other), ["route_id", "row", "column"]).filter("k < other").drop("row", "column").distinct()
+    # Of the cells that two segments share the least one counts, so no pair is listed twice.
+    least = lambda a: F.greatest(*(F.floor(F.least(F.col(f"{o}{a}"), F.col(f"{o}{a}2")) / size) for o in ("", "o_")))
+    met = laid.join(scratch.dealt(other), ["route_id", "row", "column"]).filter((F.col("k") < F.col("other")) & (F.col("row") == least("n")) & (F.col("column") == least("e"))).drop("row", "column")
     d = lambda c: F.col(c).cast("double")
     me, mn, oe, on = d("e2") - d("e"), d("n2") - d("n"), d("o_e2") - d("o_e"), d("o_n2") - d("o_n")
     we, wn = d("o_e") - d("e"), d("o_n") - d("n")
